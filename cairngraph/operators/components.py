@@ -1,0 +1,89 @@
+"""Connected and strongly connected components by rounds of joins."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from cairngraph.workspace import Workspace
+
+
+def connected_components(links: DataFrame, work: Workspace) -> DataFrame:
+    """id, component (the least id of it) from undirected links ``a``, ``b``. A link of an id with itself gives the id.
+
+    Alternating large and small stars: every round joins each id's neighbours to the least of them, so
+    the rounds grow with the logarithm of the diameter. A star's centre is reached by aggregation, so no
+    task holds the neighbours of a hub.
+    """
+    ids = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    edges = work.save(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    while True:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+        large = work.save(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
+        newer = work.save(small)
+        same = newer.count() == edges.count() and not newer.join(edges, ["u", "v"], "left_anti").take(1)
+        work.drop(large, edges)
+        edges = newer
+        if same:
+            break
+    return ids.join(edges.select(F.col("u").alias("id"), F.col("v").alias("component")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
+def _trim(edges: DataFrame, work: Workspace) -> DataFrame:
+    """Edges left when ids without a way in or out are taken away, again and again."""
+    n = edges.count()
+    while n:
+        kept = work.save(edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        m = kept.count()
+        work.drop(edges)
+        edges = kept
+        if m == n:
+            break
+        n = m
+    return edges
+
+
+def _spread(edges: DataFrame, start: DataFrame, label: str, work: Workspace, keep: bool = False) -> DataFrame:
+    """id, ``label``: the greatest label that reaches each id along src -> dst (``keep``: only within one colour)."""
+    state = work.save(start)
+    while True:
+        sent = edges.join(state.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.max(label).alias("_m"))
+        step = state.join(sent, "id", "left")
+        newer = work.save(step.select("id", F.greatest(F.col(label), F.col("_m")).alias(label), (F.col("_m") > F.col(label)).alias("_moved")))
+        moved = newer.where("_moved").take(1)
+        work.drop(state)
+        state = newer.drop("_moved")
+        state._cairn_path = newer._cairn_path
+        if not moved:
+            return state
+
+
+def strong_components(edges: DataFrame, work: Workspace) -> DataFrame:
+    """id, component (least member), size of the strongly connected components of two and more, from src, dst.
+
+    What cannot lie on a cycle is trimmed. The rest takes the greatest id that reaches it as its
+    colour; the ids of a colour that reach the id it is named after are that id's component.
+    """
+    left = _trim(work.save(edges.where("src <> dst").select("src", "dst").distinct()), work)
+    found = []
+    while left.take(1):
+        ids = left.select(F.col("src").alias("id")).distinct()
+        colour = _spread(left, ids.withColumn("colour", F.col("id")), "colour", work)
+        side = lambda c: colour.select(F.col("id").alias(c), F.col("colour").alias(f"{c}_colour"))  # noqa: B023,E731
+        within = work.save(left.join(side("src"), "src").join(side("dst"), "dst").where("src_colour = dst_colour").select("src", "dst"))
+        back = within.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        reach = _spread(back, colour.select("id", (F.col("id") == F.col("colour")).cast("int").alias("hit")), "hit", work)
+        members = work.save(reach.where("hit = 1").join(colour, "id").select("id", "colour"))
+        found.append(members)
+        rest = within.join(members.select(F.col("id").alias("src")), "src", "left_anti").join(members.select(F.col("id").alias("dst")), "dst", "left_anti")
+        left = _trim(work.save(rest), work)
+    if not found:
+        return edges.select(F.col("src").alias("id"), F.col("src").alias("component"), F.lit(1).cast("long").alias("size")).where("false")
+    every = found[0]
+    for f in found[1:]:
+        every = every.unionByName(f)
+    named = every.groupBy("colour").agg(F.min("id").alias("component"), F.count("*").alias("size")).where("size > 1")
+    return every.join(named, "colour").select("id", "component", "size")

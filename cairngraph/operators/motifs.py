@@ -151,9 +151,15 @@ def cycle_ratio(g: Graph, depth: int = 1) -> DataFrame:
 
 
 def longest_ways(links: DataFrame, g: Graph) -> DataFrame:
-    """domain, src, length: the longest way along acyclic links from each root (a source that is no target), by rounds."""
-    links = g.work.save(links.select("domain", "src", "dst").distinct())
+    """domain, src, length: the longest way from each root (a source that is no target), by rounds.
+
+    Links within a cycle lead nowhere new and are not walked.
+    """
+    links = g.work.save(links.where("src <> dst").select("domain", "src", "dst").distinct())
+    comp = strong_components(links.select("src", "dst"), g.work)
+    a, b = comp.select(F.col("id").alias("src"), F.col("component").alias("x")), comp.select(F.col("id").alias("dst"), F.col("component").alias("y"))
     roots = links.select("domain", "src").join(links.select("domain", F.col("dst").alias("src")), ["domain", "src"], "left_anti").distinct()
+    links = g.work.save(links.join(a, "src", "left").join(b, "dst", "left").where("x is null or y is null or x <> y").select("domain", "src", "dst"))
     front = g.work.save(roots.select("domain", F.col("src").alias("root"), F.col("src").alias("at")))
     found = roots.select("domain", "src", F.lit(0).alias("length"))
     n, bound = 0, links.select("src").distinct().count()

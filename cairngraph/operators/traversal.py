@@ -77,41 +77,38 @@ def walk(g: Graph, roots: list[str], upstream: bool, depth: int, types: list[str
     plain, sent = rows(types), rows(["DISPATCHES"])
     info = g.nodes.select(F.col("id").alias("next"), "is_test", "namespace", "type")
     work, spark = g.work, g.work.spark
-    seen = work.save(spark.createDataFrame([(r, 0, False) for r in roots], "node string, depth int, leaf boolean"))
-    front, walked = seen, []
+    seen = spark.createDataFrame([(r, 0, False) for r in roots], "node string, depth int, leaf boolean")
+    front, n_front, n_seen, walked = seen, len(roots), len(roots), []
     omitted, cut_at = 0, None
 
-    def admit(edges: DataFrame, front: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
-        nonlocal omitted, cut_at
-        fetched = sized_join(edges, front.where("not leaf").select(F.col("node").alias("at")), ["at"], "inner", front.count())
+    def admit(edges: DataFrame, front: DataFrame, n_front: int, level: int) -> tuple[DataFrame, int]:
+        nonlocal omitted, cut_at, seen, n_seen
+        fetched = sized_join(edges, front.where("not leaf").select(F.col("node").alias("at")), ["at"], "inner", n_front)
+        walked.append(fetched)
         new = fetched.select("next").distinct().join(seen.select(F.col("node").alias("next")), "next", "left_anti").join(info, "next", "left")
         if hide_tests:
             new = new.where("not coalesce(is_test, false)")
         if internal_only:
             new = new.where("namespace = 'INTERNAL'")
-        new = new.select(F.col("next").alias("node"), F.lit(level).alias("depth"), (F.coalesce("type", F.lit("")) == "FILE").alias("leaf"), (F.coalesce("namespace", F.lit("")) != "INTERNAL").alias("outside"))
-        new = work.save(new)
-        if budget is not None:
-            room, n = budget - seen.count(), new.count()
-            if n > room:
-                omitted, cut_at = n - max(room, 0), level
-                new = work.save(new.orderBy("outside", "leaf", "node").limit(max(room, 0)))
-        return fetched, new.drop("outside")
+        new = work.save(new.select(F.col("next").alias("node"), F.lit(level).alias("depth"), (F.coalesce("type", F.lit("")) == "FILE").alias("leaf"), (F.coalesce("namespace", F.lit("")) != "INTERNAL").alias("outside")))
+        n = new.count()
+        if budget is not None and n > (room := max(budget - n_seen, 0)):
+            omitted, cut_at = n - room, level
+            new, n = work.save(new.orderBy("outside", "leaf", "node").limit(room)), room
+        new = new.drop("outside")
+        if n:
+            seen, n_seen = seen.unionByName(new), n_seen + n
+        return new, n
 
     for level in range(depth + 1):
         if level:
-            fetched, front = admit(plain, front, level)
-            seen = work.save(seen.unionByName(front))
-            walked.append(fetched)
-        inner = front
-        while dispatch and cut_at is None and inner.take(1):
-            fetched, inner = admit(sent.where("at <> next"), inner, level)
-            walked.append(fetched)
-            if not inner.take(1):
-                break
-            seen = work.save(seen.unionByName(inner))
-            front = front.unionByName(inner)
-        if cut_at is not None or not front.take(1):
+            front, n_front = admit(plain, front, n_front, level)
+        inner, n_inner = front, n_front
+        while dispatch and cut_at is None and n_inner:
+            inner, n_inner = admit(sent.where("at <> next"), inner, n_inner, level)
+            if n_inner:
+                front, n_front = front.unionByName(inner), n_front + n_inner
+        if cut_at is not None or not n_front:
             break
     edges = spark.createDataFrame([], "id string, at string, next string")
     for w in walked:

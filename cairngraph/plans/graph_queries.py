@@ -510,7 +510,8 @@ def template_fit(g):
 
 
 @query(f"""l as (select distinct {_top('source')} as d, source as a, target as b from e where type = 'DISPATCHES' and {_top('source')} = {_top('target')} and source in (select id from n) and target in (select id from n)),
-  ro as (select distinct d, a from l where a not in (select b from l)), w as (select d, a as r, a as x, 0 as k from ro union select w.d, w.r, l.b, k + 1 from w join l on l.d = w.d and l.a = w.x where k < 60)
+  lr as (select a, b from l union select lr.a, l.b from lr join l on l.a = lr.b), dg as (select * from l where a <> b and not exists (select 1 from lr where lr.a = l.b and lr.b = l.a)),
+  ro as (select distinct d, a from l where a <> b and a not in (select b from l where a <> b)), w as (select d, a as r, a as x, 0 as k from ro union select w.d, w.r, dg.b, k + 1 from w join dg on dg.d = w.d and dg.a = w.x)
   select d as domain, r as src, cast(max(k) as int) as length from w group by 1, 2""", recursive=True)
 def chain_lengths(g):
     return motifs.longest_ways(motifs.domain_links(g, "DISPATCHES"), g)

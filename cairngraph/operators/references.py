@@ -35,7 +35,7 @@ def orphan_references(edges: DataFrame, nodes: DataFrame, work: Workspace, broad
     have the same ends.
     """
     refs = references(edges)
-    keys = refs.groupBy("key").agg(F.min("t").alias("first_use"))
+    keys = work.save(refs.groupBy("key").agg(F.min("t").alias("first_use")))
     living = nodes.where("id is not null and ingested_at is not null")
     known = living.groupBy("id").agg(F.min("ingested_at").alias("first"), F.min(F.when(F.col("deleted_at").isNull(), F.col("ingested_at"))).alias("kept_from"))
     missing = keys.join(known, keys["key"] == known["id"], "left_anti").select("key", F.lit(None).cast("timestamp").alias("first"), F.lit(None).cast("timestamp").alias("kept_from"))

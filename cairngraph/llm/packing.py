@@ -4,7 +4,7 @@ A solution is a set of bins. Crossover injects whole well-filled bins of one par
 the bins that hold an injected item a second time and best-fits what they held besides. Items are dealt
 into blocks of bounded size; on each block several islands evolve solutions of their own and hand
 their best to the next island between epochs. Bins that are not well filled are dissolved and their
-items dealt into new, fewer blocks, until one block is left.
+items dealt into new, fewer blocks, until each capacity has one block left.
 """
 
 from __future__ import annotations
@@ -179,13 +179,15 @@ def pack_documents(sizes: DataFrame, capacities: dict[str, int], work: Workspace
     rest = docs.withColumn("size", (F.col("n_tokens") % F.col("capacity")).cast("int")).where("size > 0")
     items = work.save(rest.select("name", "capacity", "doc_id", F.floor(F.col("n_tokens") / F.col("capacity")).cast("int").alias("piece"), (F.col("n_tokens") - F.col("size")).alias("start"), "size"))
     turn = 0
-    before: dict[str, int] = {}
     while counts := {r["name"]: r["count"] for r in items.groupBy("name").count().toLocalIterator()}:
         bins, last = _round(items, counts, turn, work)
-        if last or counts == before:
+        if last:
             kept, items = bins, None
         else:
-            full = F.col("fill") >= F.lit(WELL_FILLED) * F.col("capacity")
+            # Where few bins come out well filled, the fuller half is kept, so that every turn leaves less.
+            half = {r["name"]: min(WELL_FILLED, r["f"]) for r in bins.groupBy("name").agg(F.percentile_approx(F.col("fill") / F.col("capacity"), 0.5, 1000).alias("f")).toLocalIterator()}
+            floor = F.create_map(*[x for n, f in half.items() for x in (F.lit(n), F.lit(f))])[F.col("name")]
+            full = F.col("fill") / F.col("capacity") >= floor
             kept = bins.where(full)
             items = bins.where(~full)
         out = kept.select("name", F.concat_ws("-", F.lit(str(turn)), "block", "bin").alias("bin_id"), F.explode("items").alias("i"))
@@ -193,7 +195,7 @@ def pack_documents(sizes: DataFrame, capacities: dict[str, int], work: Workspace
         if items is None:
             break
         items = work.save(items.select("name", "capacity", F.explode("items").alias("i")).select("name", "capacity", "i.id.doc_id", "i.id.piece", "i.id.start", "i.size"))
-        before, turn = counts, turn + 1
+        turn += 1
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)

@@ -90,7 +90,7 @@ def template_fit(imports: DataFrame, calls: DataFrame, unresolved: DataFrame, la
     wi = F.when(F.col("di").isNotNull(), layers.imports).otherwise(0.0)
     wc = F.when(F.col("dc").isNotNull(), layers.calls * discount).otherwise(0.0)
     rows = both.withColumn("residual", F.when(wi + wc > 0, (wi * F.coalesce("di", F.lit(0.0)) + wc * F.coalesce("dc", F.lit(0.0))) / (wi + wc)).otherwise(0.0))
-    order = F.array_sort(F.collect_list(F.struct(F.round("residual", 12).alias("r"), "template")))
+    order = F.array_sort(F.collect_list(F.struct(F.round("residual", 9).alias("r"), "template")))
     ranked = rows.groupBy("domain").agg(order.alias("t")).select("domain", F.posexplode("t").alias("rank", "x"))
     fit = F.when(F.col("x.r") <= GOOD_FIT, "good").when(F.col("x.r") <= MAX_RESIDUAL, "weak").otherwise("none")
     return ranked.select("domain", "x.template", F.col("x.r").alias("residual"), (F.col("rank") + 1).alias("rank"), fit.alias("fit"))

@@ -40,14 +40,18 @@ def _nearest_above(links: DataFrame, roots: DataFrame, work: Workspace, owner: b
     ids = links.select(F.col("dst").alias("id"), F.col("src").alias("at")).join(marks, "id", "full")
     hit = F.coalesce("hit", F.lit(False))
     state = work.save(ids.select("id", F.when(hit, F.col("id")).otherwise(F.col("at")).alias("at"), F.when(hit, 0).otherwise(1).alias("depth"), hit.alias("hit")))
-    for _ in range(state.count().bit_length() + 1):
+    left = -1
+    while True:
         ahead = state.select(F.col("id").alias("at"), F.col("at").alias("then"), F.col("depth").alias("more"), F.col("hit").alias("ends"))
         done = state.where("hit")
         going = state.where("not hit").join(ahead, "at").select("id", F.col("then").alias("at"), (F.col("depth") + F.col("more")).cast("int").alias("depth"), F.col("ends").alias("hit"))
         newer = work.save(done.unionByName(going))
         work.drop(state)
         state = newer
-        if not state.where("not hit").take(1):
+        # A way up that ends has ids at every distance, and each round settles those up to twice as far:
+        # once a round settles none, only cycles are left.
+        before, left = left, state.where("not hit").count()
+        if left in (0, before):
             break
     found = state.where("hit").select("id", "depth", F.col("at").alias("owner"))
     return found if owner else found.drop("owner")

@@ -246,7 +246,10 @@ def cycle_report(g):
     return metrics.cycle_report(metrics.import_cycles(g))
 
 
-@query()
+@query(f"""{_FANS}, {_DOWN}, top(id, own, d) as (select id, id, 0 from n where type in ('FILE', 'MODULE') union select e.target, own, d + 1 from top join e on e.source = top.id and e.type in ('CONTAINS', 'DECLARES') where d < 100),
+  {_RUNTIME}, dep as (select id, min(d) as d from down group by 1), ow as (select id, arg_min(own, d) as own from top group by 1)
+  select n.id, coalesce(fi.c, 0) as fan_in, coalesce(fo.c, 0) as fan_out, cast(coalesce(dep.d, 0) as int) as depth, coalesce(ow.own, n.id) in (select id from scc) as in_cycle
+  from n left join fi using (id) left join fo using (id) left join dep using (id) left join ow using (id)""", recursive=True)
 def health(g):
     return metrics.health(g)
 
@@ -263,7 +266,13 @@ def pagerank(g):
     return metrics.pagerank(g).select("id", F.round("rank", 9).alias("rank"))
 
 
-@query()
+@query("""me as (select distinct c.id as c, m.id as m, m.name, json_extract(m.metadata, '$.self_attrs') as attrs, m.metadata as meta from e join n c on c.id = e.source join n m on m.id = e.target where e.type = 'DECLARES' and c.type = 'CLASS' and c.namespace = 'INTERNAL' and m.type = 'METHOD'),
+  ok as (select * from me where c not in (select c from me where attrs is null) and not (starts_with(name, '__') and ends_with(name, '__')) and coalesce(json_extract_string(meta, '$.is_abstract'), 'false') <> 'true'
+    and not exists (select 1 from (select unnest(from_json(coalesce(json_extract(meta, '$.decorators'), '[]'), '["VARCHAR"]')) as d) where list_extract(string_split(d, '.'), -1) in ('staticmethod', 'classmethod'))),
+  att as (select c, m, unnest(list_append(from_json(attrs, '["VARCHAR"]'), name)) as x from ok),
+  li as (select a.c, a.m as p, b.m as q from att a join att b on a.c = b.c and a.x = b.x union select s.c, s.m, t.m from e join ok s on s.m = e.source join ok t on t.m = e.target and t.c = s.c where e.type = 'CALLS' union select t.c, t.m, s.m from e join ok s on s.m = e.source join ok t on t.m = e.target and t.c = s.c where e.type = 'CALLS'),
+  re as (select c, p, q from li union select re.c, re.p, li.q from re join li on li.c = re.c and li.p = re.q),
+  le as (select c, p, min(q) as q from re group by 1, 2) select c as id, count(*) as methods, count(distinct q) as lcom4 from le group by 1""", recursive=True)
 def class_cohesion_lcom4(g):
     return metrics.class_cohesion(g)
 
@@ -386,7 +395,8 @@ def transitive_reduction(g):
     return structure.transitive_reduction(structure.module_edges(g).where("kind = 'extends'"), g.work)
 
 
-@query()
+@query(f"""{_MODULES}, im as (select source as a, target as b from me where kind = 'imports'), ir as (select a, b from im union select ir.a, im.b from ir join im on im.a = ir.b)
+  select source, target, kind from me where not (kind = 'imports' and exists (select 1 from me x where x.kind = 'extends' and x.source = me.source and x.target = me.target) and not exists (select 1 from ir where ir.a = me.target and ir.b = me.source))""", recursive=True)
 def uncovered_imports(g):
     return structure.uncovered(structure.module_edges(g), g.work)
 
@@ -433,16 +443,18 @@ def partition_divergence(spark, folder):
 # Motifs and drift
 
 
-def _triad_sql(kind: str) -> str:
+def _triad_sql(kind: str, p: str = "", links: str | None = None) -> str:
+    """Common tables, their names beginning with ``p``: l (links d, a, b), census (domain, triad, n)."""
     cases = " ".join(f"when {c} then '{motifs.triad_name(c)}'" for c in range(64) if motifs.triad_name(c))
-    return f"""l as (select distinct {_top('source')} as d, source as a, target as b from e where type = '{kind}' and source <> target and {_top('source')} = {_top('target')} and source in (select id from n) and target in (select id from n)),
-  u as (select d, a, b from l union select d, b, a from l),
-  tr as (select distinct x.d, list_sort([x.a, x.b, y.b]) as t from u x join u y on y.d = x.d and y.a = x.a and y.b > x.b),
-  co as (select tr.d, 1 * (vu.a is not null)::int + 2 * (uv.a is not null)::int + 4 * (vw.a is not null)::int + 8 * (wv.a is not null)::int + 16 * (uw.a is not null)::int + 32 * (wu.a is not null)::int as c from tr
-    left join l vu on vu.a = t[1] and vu.b = t[2] left join l uv on uv.a = t[2] and uv.b = t[1] left join l vw on vw.a = t[1] and vw.b = t[3] left join l wv on wv.a = t[3] and wv.b = t[1] left join l uw on uw.a = t[2] and uw.b = t[3] left join l wu on wu.a = t[3] and wu.b = t[2]),
-  tri as (select d, case c {cases} end as triad, count(*) as n from co group by 1, 2),
-  dom as (select distinct d from (select {_top('source')} as d from e where type = '{kind}' and {_top('source')} = {_top('target')} and source in (select id from n) and target in (select id from n))),
-  census as (select dom.d as domain, z.triad, coalesce(tri.n, 0) as n from dom cross join (select unnest({motifs.TRIADS}) as triad) z left join tri on tri.d = dom.d and tri.triad = z.triad)"""
+    inside = f"type = '{kind}' and {_top('source')} = {_top('target')} and source in (select id from n) and target in (select id from n)"
+    bit = lambda k, x, y: f"{1 << k} * (exists (select 1 from {p}l z where z.d = {p}tr.d and z.a = t[{x}] and z.b = t[{y}]))::int"
+    return f"""{p}l as materialized ({links or f"select distinct {_top('source')} as d, source as a, target as b from e where {inside} and source <> target"}),
+  {p}u as materialized (select d, a, b from {p}l union select d, b, a from {p}l),
+  {p}tr as materialized (select distinct x.d, list_sort([x.a, x.b, y.b]) as t from {p}u x join {p}u y on y.d = x.d and y.a = x.a and y.b > x.b),
+  {p}co as (select d, {' + '.join(bit(k, x, y) for k, (x, y) in enumerate([(1, 2), (2, 1), (1, 3), (3, 1), (2, 3), (3, 2)]))} as c from {p}tr),
+  {p}tri as (select d, case c {cases} end as triad, count(*) as n from {p}co group by 1, 2),
+  {p}dom as ({f"select distinct d from {p}l" if links else f"select distinct {_top('source')} as d from e where {inside}"}),
+  {p}census as materialized (select {p}dom.d as domain, z.triad, coalesce({p}tri.n, 0) as n from {p}dom cross join (select unnest({motifs.TRIADS}) as triad) z left join {p}tri on {p}tri.d = {p}dom.d and {p}tri.triad = z.triad)"""
 
 
 @query(f"{_triad_sql('IMPORTS')} select domain, triad, n from census")
@@ -455,7 +467,11 @@ def triad_census_calls(g):
     return motifs.triad_census(motifs.domain_links(g, "CALLS"))
 
 
-_SHARES = "sh as (select domain, triad, case when sum(n) over (partition by domain) > 0 then n / sum(n) over (partition by domain) else 0 end as share from census)"
+def _shares_sql(p: str = "") -> str:
+    return f"{p}sh as (select domain, triad, case when sum(n) over (partition by domain) > 0 then n / sum(n) over (partition by domain) else 0 end as share from {p}census)"
+
+
+_SHARES = _shares_sql()
 _WEIGHT = "case triad " + " ".join(f"when '{t}' then {m}" for t, m in motifs.MUTUAL.items()) + " else 0 end"
 
 
@@ -503,7 +519,13 @@ def hygiene_gate(g):
     return drift.hygiene_gate(rows, {k: drift.HYGIENE[k] for k in ("cycle_ratio", "unresolved_ratio")})
 
 
-@query()
+_TV = "{p}tv as (select domain, template, sum(abs(share - ideal)) / 2 as d from {p}sh join ideal using (triad) where domain in (select domain from {p}census group by 1 having sum(n) > 0) group by 1, 2)"
+
+
+@query(f"""{_triad_sql('IMPORTS', 'i')}, {_shares_sql('i')}, {_triad_sql('CALLS', 'c')}, {_shares_sql('c')}, {_IDEALS}, {_TV.format(p='i')}, {_TV.format(p='c')}, {_COUNTERS.replace('c as (', 'cc as (', 1).replace('from c group', 'from cc group')},
+  w as (select 1), x as (select domain, template, itv.d as di, ctv.d as dc, greatest(0, least(1, 1 - coalesce(unresolved_ratio, 0))) as k from itv full join ctv using (domain, template) left join cnt using (domain)),
+  y as (select domain, template, coalesce(round((0.4::double * coalesce(di, 0) + case when dc is null then 0 else 0.4::double * k * dc end) / nullif(case when di is null then 0 else 0.4::double end + case when dc is null then 0 else 0.4::double * k end, 0), 9), 0) as residual from x)
+  select domain, template, residual, cast(row_number() over (partition by domain order by residual, template) as int) as rank, case when residual <= 0.25 then 'good' when residual <= 0.45 then 'weak' else 'none' end as fit from y""".replace("  w as (select 1), x as", "  x as"))
 def template_fit(g):
     shares = lambda k: g.work.save(motifs.normalized(motifs.triad_census(motifs.domain_links(g, k))))
     return drift.template_fit(shares("IMPORTS"), shares("CALLS"), motifs.fingerprint_counters(g))
@@ -534,14 +556,20 @@ def domain_assignment(g):
     return found.groupBy("domain").agg(F.count("*").alias("n"))
 
 
-@query()
+_CUT = "e.type = 'IMPORTS' and source in (select id from inode) and target in (select id from inode)"
+_RUNGS = " union ".join(f"select {r} as d, {_top('source', r)} as a, {_top('target', r)} as b from e where {_CUT} and {_top('source', r)} <> {_top('target', r)}" for r in (1, 2, 3))
+_LADDER = f"""{_triad_sql('', '', _RUNGS)}, {_SHARES}, gr as (select d, count(distinct x) as n_groups from (select d, unnest([a, b]) as x from l) group by 1),
+  ladder as (select gr.d as rung, n_groups, (select sum(n) from census where domain = gr.d) as n_triads, coalesce((select sum(-share * log2(share)) from sh where domain = gr.d and share > 0), 0) as entropy from gr)"""
+
+
+@query(f"{_LADDER} select rung, n_groups, cast(n_triads as bigint) as n_triads, round(entropy, 9) as entropy from ladder")
 def tier_ladder(g):
-    return motifs.tier_ladder(g, "IMPORTS")
+    return motifs.tier_ladder(g, "IMPORTS").withColumn("entropy", F.round("entropy", 9))
 
 
-@query()
+@query(f"{_LADDER} select round(regr_slope(entropy, -log2(n_groups)), 6) as slope, round(regr_r2(entropy, -log2(n_groups)), 6) as r2, count(*) as points from ladder where n_triads >= 10 and n_groups > 1")
 def entropy_fit(g):
-    return motifs.entropy_fit(motifs.tier_ladder(g, "IMPORTS"))
+    return motifs.entropy_fit(motifs.tier_ladder(g, "IMPORTS")).select(F.round("slope", 6).alias("slope"), F.round("r2", 6).alias("r2"), "points")
 
 
 @query("select distinct split_part(id, '.', 1) as prefix from n where file_path <> 'EXTERNAL'")

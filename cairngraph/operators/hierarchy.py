@@ -48,21 +48,24 @@ def _hang(level: DataFrame, parents: DataFrame, rows: int) -> DataFrame:
     return level.join(parents, "up") if salts_for(rows) == 1 else sized_join(level, parents, ["up"], "inner", 1 << 60, rows)
 
 
-def _rank(tour: DataFrame, length: int, work: Workspace) -> DataFrame:
+def _rank(tour: DataFrame, work: Workspace) -> DataFrame:
     """elem, last, width, rise: the sums from each element to the end of its list, null ``last`` if it has none.
 
-    Pointer doubling: after k rounds an element has summed 2^k others. ``next`` is null at an end.
+    Pointer doubling: after k rounds an element has summed 2^k others. ``next`` is null at an end. A list
+    that ends has elements at every distance from its end, and each round settles those up to twice as
+    far: once a round settles none, only closed lists, the cycles, are left.
     """
     state = work.save(tour.select("elem", F.coalesce("next", "elem").alias("at"), F.col("next").isNull().alias("over"), F.when(F.col("next").isNotNull(), F.col("width")).otherwise(0).alias("width"), F.when(F.col("next").isNotNull(), F.col("rise")).otherwise(0).alias("rise")))
-    rounds = length.bit_length() + 1
-    for _ in range(rounds):
+    left = -1
+    while True:
         ahead = state.select(F.col("elem").alias("at"), F.col("at").alias("then"), F.col("over").alias("ends"), F.col("width").alias("w"), F.col("rise").alias("r"))
         going, still = state.where("not over"), state.where("over")
         step = going.join(ahead, "at").select("elem", F.col("then").alias("at"), F.col("ends").alias("over"), (F.col("width") + F.col("w")).alias("width"), (F.col("rise") + F.col("r")).alias("rise"))
         newer = work.save(still.unionByName(step))
         work.drop(state)
         state = newer
-        if not state.where("not over").take(1):
+        before, left = left, state.where("not over").count()
+        if left in (0, before):
             break
     return state.select("elem", F.when(F.col("over"), F.col("at")).alias("last"), "width", "rise")
 
@@ -102,7 +105,7 @@ def forest(links: DataFrame, work: Workspace) -> DataFrame:
     ins = core.join(first, "no", "left").select(entry("no").alias("elem"), F.when(F.col("child").isNotNull(), entry("child")).otherwise(exit_("no")).alias("next"), F.col("size").alias("width"), F.lit(1).cast("long").alias("rise"))
     outs = spread.join(follow, ["up", "place"], "left").select(exit_("no").alias("elem"), F.when(F.col("sibling").isNotNull(), entry("sibling")).otherwise(exit_("up")).alias("next"), F.lit(0).cast("long").alias("width"), F.lit(-1).cast("long").alias("rise"))
     ends = core.where("up is null").select(exit_("no").alias("elem"), F.lit(None).cast("struct<k:bigint,out:boolean>").alias("next"), F.lit(0).cast("long").alias("width"), F.lit(0).cast("long").alias("rise"))
-    ranked = _rank(ins.unionByName(outs).unionByName(ends), 2 * left.count(), work)
+    ranked = _rank(ins.unionByName(outs).unionByName(ends), work)
     # An entry's sums run to its root's exit: the width behind it, and as many rises as falls but for its depth.
     at = ranked.groupBy("elem.k").agg(F.max("last.k").alias("root"), F.max(F.when(~F.col("elem.out"), F.col("width"))).alias("behind"), F.max(F.when(F.col("elem.out"), F.col("width"))).alias("after"), F.max(F.when(~F.col("elem.out"), F.col("rise"))).alias("rise")).withColumnRenamed("k", "no")
     done = work.save(core.join(at, "no"))

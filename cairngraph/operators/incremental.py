@@ -52,22 +52,23 @@ class ChangeStore:
         reader = self.spark.read.schema(ROW)
         return reader.parquet(*paths) if paths else self.spark.createDataFrame([], ROW)
 
-    def run(self, log: DataFrame, arrived: Column, limit: datetime, before_commit=None) -> int:
-        """Process what arrived up to ``limit``; the commit's number. ``before_commit`` may raise, for tests."""
+    def run(self, log: DataFrame, arrived: Column, limit: datetime, before_commit=None, whole: bool = False) -> int:
+        """Process what arrived up to ``limit``; the commit's number. ``before_commit`` may raise, for tests.
+
+        ``whole``: the log holds what is new and nothing else, as a stream's batch does.
+        """
         last = self.last()
         number = last.number + 1
         compact = number - last.base >= self.compact_every
-        new = log.where(arrived <= F.lit(limit))
-        if last.watermark is not None:
+        new = log if whole else log.where(arrived <= F.lit(limit))
+        if last.watermark is not None and not whole:
             new = new.where(arrived > F.lit(last.watermark))
         fresh = new.select("key", "content", "seen_at", "seq", F.lit(True).alias("fresh"))
         state = self.rows(range(last.base, number)).select("key", "content", "seen_at", "seq", F.lit(False).alias("fresh"))
         # The newest of each key, old or new, and what the last commit held to be the newest.
-        rank = F.struct("seen_at", "seq")
         newest = fresh.unionByName(state).groupBy("key").agg(F.max(F.struct("seen_at", "seq", "content")).alias("top"), F.max(F.when(~F.col("fresh"), F.struct(*[F.col(c) for c in ("seen_at", "seq", "content")]))).alias("old"), F.max("fresh").alias("touched"))
         changed = F.col("old").isNull() | (F.col("old.content") != F.col("top.content"))
         rows = newest.select("key", "top.content", "top.seen_at", "top.seq", (F.col("touched") & (F.col("top.content") != "") & changed).alias("pending"), F.col("touched"), (F.col("old").isNull() | (F.col("top") != F.col("old"))).alias("moved"))
-        del rank
         rows = rows.select("key", "content", "seen_at", "seq", "pending", "moved")
         rows = (rows if compact else rows.where("moved")).drop("moved")
         draft = f"{self.folder}/draft-{uuid.uuid4().hex}"

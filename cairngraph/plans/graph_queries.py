@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairngraph.functions import paths
 from cairngraph.functions.text import sql_path, sql_trim
 from cairngraph.graph import Graph
-from cairngraph.operators import drift, evaluation, keys, metrics, motifs, resolution, storage, structure, traversal
+from cairngraph.operators import drift, evaluation, keys, metrics, motifs, resolution, storage, structure, traversal, uplift
+from cairngraph.operators.components import connected_components
 from cairngraph.operators.incremental import file_log
 from cairngraph.schema import BEHAVIORAL, ENFORCEMENT, NODE_COLUMNS
+from cairngraph.sources import sinks
 from cairngraph.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -686,3 +689,84 @@ def paired_effect(spark, folder):
 @tables_query("with x as (select event_type, lead(event_type) over (partition by user_id order by ts, event_id) as next_type from events) select next_type, count(*) as n from x where event_type = 'click' group by 1")
 def next_event_sufficiency(spark, folder):
     return evaluation.next_events(table(spark, folder, "events"), "click")
+
+
+# Further lookups and links
+
+
+@query(f"""s as (select id from inode where type = 'CLASS' and is_test) select 'out' as way, e.source as node_id, e.type, count(*) as n from e where e.source in (from s) group by 2, 3
+  union all select 'in', e.target, e.type, count(*) from e where e.target in (from s) group by 2, 3""")
+def edges_of_nodes(g):
+    """Edges out of and into a set of nodes, here the test classes, by type."""
+    asked = g.internal("CLASS").where("is_test").select("id")
+    side = lambda c, way: g.edges.join(asked.withColumnRenamed("id", c), c, "left_semi").groupBy(F.lit(way).alias("way"), F.col(c).alias("node_id"), "type").agg(F.count("*").alias("n"))
+    return side("source", "out").unionByName(side("target", "in"))
+
+
+@query(f"""c as (select distinct source as a, target as b from e where type = 'CALLS' and target in (select id from inode) and source in (select id from inode)),
+  d(id, d) as (select 'vostmark_1c.store.codec', 0 union select id, 0 from n where file_path = (select file_path from n where id = 'vostmark_1c.store.codec') union select x.v, d + 1 from d join (select a as u, b as v from c union select b, a from c) x on x.u = d.id where d < 1)
+  select id, cast(min(d) as int) as depth from d group by 1""", recursive=True)
+def context_neighbourhood(g):
+    """What a file's symbols call and are called by, one step, in the code itself."""
+    roots = g.nodes.join(g.nodes.where("id = 'vostmark_1c.store.codec'").select("file_path"), "file_path", "left_semi").select("id")
+    inside = g.internal().select("id")
+    c = g.typed("CALLS").select(F.col("source").alias("src"), F.col("target").alias("dst")).distinct()
+    c = c.join(inside.withColumnRenamed("id", "src"), "src", "left_semi").join(inside.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    both = c.unionByName(c.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    root = g.work.spark.createDataFrame([("vostmark_1c.store.codec",)], "id string")
+    return traversal.min_depths(both, roots.unionByName(root), g.work, 1)
+
+
+@query("""m as (select distinct s.id as c, t.name as m, coalesce(json_extract_string(s.metadata, '$.is_abstract'), 'false') = 'true' as ab from e join n s on s.id = e.source join n t on t.id = e.target where e.type = 'DECLARES' and s.type = 'CLASS' and t.type = 'METHOD'),
+  need as (select c, count(*) as k from m where ab group by 1)
+  select a.c as interface, b.c as type from m a join m b on b.m = a.m and not b.ab join need on need.c = a.c where a.ab group by 1, 2, need.k having count(*) = need.k""")
+def interface_dispatch(g):
+    """Classes that declare every method an abstract class declares."""
+    own = g.typed("DECLARES").select("source", "target").distinct()
+    cls = g.nodes.where("type = 'CLASS'").select(F.col("id").alias("source"), (F.coalesce(F.get_json_object("metadata", "$.is_abstract"), F.lit("false")) == "true").alias("ab"))
+    got = own.join(cls, "source").join(g.nodes.where("type = 'METHOD'").select(F.col("id").alias("target"), F.col("name").alias("method")), "target").select("source", "method", "ab", F.lit(None).cast("int").alias("arity")).distinct()
+    return resolution.interface_dispatch(got.where("ab").select(F.col("source").alias("interface"), "method", "arity"), got.where("not ab").select(F.col("source").alias("type"), "method", "arity"))
+
+
+@query()
+def method_order(g):
+    """C3 order of every class, hierarchy by hierarchy."""
+    links = g.typed("EXTENDS").select(F.col("source").alias("class"), F.col("target").alias("base")).where("class <> base").distinct()
+    groups = connected_components(links.select(F.col("class").alias("a"), F.col("base").alias("b")), g.work)
+    return resolution.method_order(links.join(groups.select(F.col("id").alias("class"), F.col("component").alias("group")), "class").select("group", "class", "base", F.lit(0).alias("position")))
+
+
+DOMAINS = {"tests": {"file_path_patterns": ["*/tests/*"]}, "api": {"fqn_patterns": ["*.api.*"]}}
+
+
+@query("""lab as (select id, unnest(domains) as label from n union select id, 'tests' from n where namespace = 'INTERNAL' and file_path like '%/tests/%' union select id, 'api' from n where namespace = 'INTERNAL' and id like '%.api.%'),
+  p as (select id, label from lab union select e.target, p.label from p join e on e.source = p.id and e.type in ('CONTAINS', 'DECLARES')), own as (select distinct id, label from p where id in (select id from n))
+  select a.label as source, b.label as target, count(*) as n_calls from e join own a on a.id = e.source join own b on b.id = e.target where e.type = 'CALLS' and a.label <> b.label group by 1, 2""", recursive=True)
+def uplift_dependencies(g):
+    return uplift.uplift(g, DOMAINS)[1]
+
+
+@query("select file_path, regexp_matches(file_path, '(^|[/\\\\])tests?([/\\\\]|$)') or regexp_matches(file_path, '(^|[/\\\\])(test_[^/\\\\]*|[^/\\\\]*_test|conftest|tests?)\\.pyi?$') as is_test, count(*) as n_nodes from inode group by 1")
+def test_paths(g):
+    return g.internal().groupBy("file_path").agg(F.count("*").alias("n_nodes")).select("file_path", paths.is_test("file_path").alias("is_test"), "n_nodes")
+
+
+@query(f"{_MODULES} select source, {_top('target')} as package, count(distinct target) as n_files from me where {_top('source')} <> {_top('target')} group by 1, 2")
+def outside_dependencies(g):
+    """source, package, n_files: what each file needs of other top packages."""
+    me = structure.module_edges(g).select("source", "target").distinct()
+    top = lambda c: F.substring_index(c, ".", 1)
+    return me.where(top("source") != top("target")).groupBy("source", top("target").alias("package")).agg(F.count("*").alias("n_files"))
+
+
+@query()
+def graph_json(g):
+    """Every node and distinct link as a JSON text."""
+    return sinks.graph_json(g.nodes, g.edges)
+
+
+@query("select e.context, e.type, count(*) as n, count(distinct e.source) as n_sources from e where e.context is not null group by 1, 2")
+def value_contexts(g):
+    """context, type, n, n_sources: how functions are handed on as values."""
+    e = g.edges.where("context is not null").select("context", "type", "source")
+    return e.groupBy("context", "type", "source").agg(F.count("*").alias("k")).groupBy("context", "type").agg(F.sum("k").alias("n"), F.count("*").alias("n_sources"))

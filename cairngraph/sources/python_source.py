@@ -10,16 +10,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairngraph.functions.paths import is_generated, is_skipped, is_test, module_of
+from cairngraph.workspace import empty_files
 
 RAW = "kind string, id string, type string, name string, start_line int, end_line int, metadata string, source string, target string, context string, line_number int, type_only boolean"
 
 
 def read_tree(spark: SparkSession, root: str) -> DataFrame:
     """file_path (relative), text of each Python file below ``root``; hidden and build directories are skipped."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.py").load(root)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.py").load(root)
+    # Spark makes no row of an empty file; the listing knows its name all the same.
+    empty = spark.createDataFrame([(p,) for p in empty_files(spark, root, ".py")], "path string")
+    files = found.select("path", "content").unionByName(empty.withColumn("content", F.lit(b"")))
     base = root.removeprefix("file://").rstrip("/") + "/"
     path = F.element_at(F.split(F.regexp_replace("path", "^file:/*", "/"), F.lit("\\Q" + base + "\\E")), -1)
-    rows = files.select(path.alias("file_path"), F.decode("content", F.lit("UTF-8")).alias("text"))
+    rows = files.select(path.alias("file_path"), F.col("content").cast("string").alias("text"))
     return rows.where(~is_skipped("file_path"))
 
 

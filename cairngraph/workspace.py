@@ -101,3 +101,14 @@ def read_text(spark: SparkSession, path: str) -> str:
         return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(data)).decode()
     finally:
         data.close()
+
+
+def empty_files(spark: SparkSession, root: str, ending: str) -> list[str]:
+    """Paths of the files of no length below ``root`` whose names end so."""
+    p, fs = _path(spark, root)
+    found, files = [], fs.listFiles(p, True)
+    while files.hasNext():
+        f = files.next()
+        if f.getLen() == 0 and f.getPath().getName().endswith(ending):
+            found.append(f.getPath().toUri().getPath())
+    return found

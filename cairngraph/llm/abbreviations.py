@@ -71,8 +71,6 @@ def build() -> dict:
     for kind, words in SPACED.items():
         for word in words:
             put(word, kind)
-            for gap in (" ", " "):
-                put(word.replace(" ", gap), kind)
     return trie
 
 
@@ -93,7 +91,11 @@ def lookup(text: str, end: int) -> tuple[str, int] | None:
     at, i, best = TRIE, end - 1, None
     while i >= 0:
         ch = text[i]
-        at = at.get(" " if ch in "\n\r\t" else ch)
+        if ch.isspace():  # a line break, or several spaces, within an abbreviation is one
+            while i > 0 and text[i - 1].isspace():
+                i -= 1
+            ch = " "
+        at = at.get(ch)
         if at is None:
             break
         if "" in at and (i == 0 or not (text[i - 1].isalnum() or text[i - 1] in "_.-/")):

@@ -49,6 +49,10 @@ def test_a_wrapped_number_begins_no_item():
     assert units("We saw Step\n2. of the list and\n12 more.") == ["We saw Step\n2. of the list and\n12 more."]
 
 
+def test_an_abbreviation_may_be_wrapped():
+    assert units("Das liegt z.\r\nB. in a.b. Siehe S.\n5. Es gilt d.\u00a0h. immer.") == ["Das liegt z.\r\nB. in a.b.", "Siehe S.\n5.", "Es gilt d.\u00a0h. immer."]
+
+
 def test_unclosed_marks_hold_nothing_back():
     assert units('"One is. Two is. (Three is. Four') == ['"One is.', "Two is.", "(Three is.", "Four"]
 

@@ -542,6 +542,32 @@ def chain_lengths(g):
     return motifs.longest_ways(motifs.domain_links(g, "DISPATCHES"), g)
 
 
+def _depth_sql(kind: str, p: str) -> str:
+    """Common tables, their names beginning with ``p``, the last of them long (domain, src, length): longest ways from roots, each cycle one node."""
+    return f"""{p}l as materialized (select distinct {_top('source')} as d, source as a, target as b from e where type = '{kind}' and {_top('source')} = {_top('target')} and source in (select id from n) and target in (select id from n)),
+  {p}r as (select a, b from {p}l union select {p}r.a, {p}l.b from {p}r join {p}l on {p}l.a = {p}r.b),
+  {p}c as (select x.a as id, min(y.a) as c from {p}r x join {p}r y on y.a = x.b and y.b = x.a group by 1),
+  {p}g as (select distinct d, coalesce(p.c, a) as a, coalesce(q.c, b) as b from {p}l left join {p}c p on p.id = a left join {p}c q on q.id = b where coalesce(p.c, a) <> coalesce(q.c, b)),
+  {p}w as (select d, a as r, a as x, 0 as k from {p}l where a not in (select b from {p}l) union select {p}w.d, r, {p}g.b, k + 1 from {p}w join {p}g on {p}g.a = {p}w.x),
+  {p}long as (select d as domain, r as src, cast(max(k) as int) as length from {p}w group by 1, 2)"""
+
+
+@query(f"{_depth_sql('CALLS', 'c')} select domain, src, length from clong", recursive=True)
+def call_chain_lengths(g):
+    return motifs.root_depths(motifs.domain_links(g, "CALLS"), g)
+
+
+@query(f"{_depth_sql('IMPORTS', 'i')} select domain, src, length from ilong", recursive=True)
+def import_depths(g):
+    return motifs.root_depths(motifs.domain_links(g, "IMPORTS"), g)
+
+
+@query(f"""{_COUNTERS}, {_depth_sql('CALLS', 'p')}, {_depth_sql('IMPORTS', 'q')}
+  select domain, n_nodes, hubs, stars, routers, unresolved_ratio, coalesce((select avg(length) from plong where plong.domain = cnt.domain), 0) as chain_len, coalesce((select max(length) from qlong where qlong.domain = cnt.domain), 0) as dag_depth from cnt""", recursive=True)
+def fingerprint(g):
+    return motifs.fingerprint(g)
+
+
 @query(f"select {_top('e.source')} as source, {_top('e.target')} as target, e.type, count(*) as weight from e where e.type in ('IMPORTS', 'CALLS') and source in (select id from inode) and target in (select id from inode) and {_top('e.source')} <> {_top('e.target')} group by 1, 2, 3")
 def quotient_edges(g):
     return motifs.quotient_edges(g)

@@ -144,7 +144,8 @@ def node_paths(edges: DataFrame, work: Workspace, separator: str = "/") -> DataF
 
     Chains that never end have a null path.
     """
-    tree = work.save(node_hierarchies(edges, work).where("depth >= 0").select("hierarchy", "node_id", "depth"))
+    every = work.save(node_hierarchies(edges, work).select("hierarchy", "node_id", "depth"))
+    tree = every.where("depth >= 0")
     links = parent_links(edges).withColumnRenamed("node", "node_id")
     ways = tree.join(links, ["hierarchy", "node_id"], "left").select("hierarchy", "node_id", "depth", F.col("parent").alias("at"), F.array("node_id").alias("way"))
     ways = work.save(ways)
@@ -154,4 +155,31 @@ def node_paths(edges: DataFrame, work: Workspace, separator: str = "/") -> DataF
         newer = work.save(ways.join(ahead, ["hierarchy", "at"], "left").select("hierarchy", "node_id", "depth", F.col("then").alias("at"), F.when(F.col("more").isNotNull(), F.concat("more", "way")).otherwise(F.col("way")).alias("way")))
         work.drop(ways)
         ways = newer
-    return ways.select("hierarchy", "node_id", F.array_join("way", separator).alias("path"))
+    endless = every.where("depth < 0").select("hierarchy", "node_id", F.lit(None).cast("string").alias("path"))
+    return ways.select("hierarchy", "node_id", F.array_join("way", separator).alias("path")).unionByName(endless)
+
+
+def descendant_pairs(intervals: DataFrame) -> DataFrame:
+    """hierarchy, node_id, descendant_id from the intervals (hierarchy, node_id, root_id, depth, entry, exit).
+
+    As many rows as the depths sum up to. An interval of one place has no descendants. The others are cut
+    into aligned blocks of a power of two of places, at most two of each width, and an entry meets, of
+    each width its tree has, only the one block it lies in: no join compares all nodes of a tree.
+    """
+    tree = intervals.where("depth >= 0")
+    width = tree.agg(F.max(F.col("exit") - F.col("entry"))).first()[0] or 1
+    a, b = F.col("entry") + 1, F.col("exit")
+    # At width 2^k the blocks that 2^(k+1) does not take: one at the left end, one at the right.
+    cuts, none = [], F.array().cast("array<bigint>")
+    for k in range(int(width).bit_length()):
+        w = 1 << k
+        lo, hi = F.ceil(a / w).cast("long"), F.floor(b / w).cast("long")
+        up, down = F.ceil(a / (2 * w)).cast("long") * 2, F.floor(b / (2 * w)).cast("long") * 2
+        whole = up >= down
+        left = F.when(lo < hi, F.when(whole, F.sequence(lo, hi - 1)).otherwise(F.concat(F.when(lo < up, F.array(lo)).otherwise(none), F.when(down < hi, F.array(down)).otherwise(none)))).otherwise(none)
+        cuts.append(F.transform(left, lambda x: F.struct(F.lit(k).alias("k"), x.alias("block"))))  # noqa: B023
+    above = tree.where("exit - entry > 1").select("hierarchy", "root_id", "node_id", F.explode(F.flatten(F.array(*cuts))).alias("c")).select("hierarchy", "root_id", "node_id", "c.k", "c.block")
+    sizes = above.select("k").distinct()
+    at = tree.select("hierarchy", "root_id", F.col("node_id").alias("descendant_id"), "entry").join(F.broadcast(sizes))
+    at = at.withColumn("block", F.expr("shiftright(entry, k)"))
+    return above.join(at, ["hierarchy", "root_id", "k", "block"]).select("hierarchy", "node_id", "descendant_id")

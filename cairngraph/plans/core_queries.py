@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairngraph.functions.text import sql_path, sql_trim
-from cairngraph.operators.hierarchy import node_hierarchies, node_paths
+from cairngraph.operators.hierarchy import descendant_pairs, node_hierarchies, node_paths
 from cairngraph.operators.hot_keys import hot_pairs, pair_profile
 from cairngraph.operators.incremental import changed_counts, changed_files
 from cairngraph.operators.references import orphan_counts, orphan_references
@@ -51,7 +51,22 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return node_hierarchies(table(spark, folder, "edges"), Workspace(spark, "p4")).where("has_parent").select("hierarchy", "node_id", "root_id", "depth")
 
 
+def p4_intervals(spark: SparkSession, folder: str) -> DataFrame:
+    """Descendants of x: same hierarchy and root, x.entry < entry < x.exit. No SQL: the order of siblings is free; p4_descendants is checked."""
+    return node_hierarchies(table(spark, folder, "edges"), Workspace(spark, "p4")).drop("has_parent")
+
+
+def p4_descendants(spark: SparkSession, folder: str) -> DataFrame:
+    work = Workspace(spark, "p4")
+    return descendant_pairs(work.save(node_hierarchies(table(spark, folder, "edges"), work)))
+
+
 def p4_paths(spark: SparkSession, folder: str) -> DataFrame:
+    """The paths that end; p4_all_paths has the chains that never do, too."""
+    return p4_all_paths(spark, folder).where("path is not null")
+
+
+def p4_all_paths(spark: SparkSession, folder: str) -> DataFrame:
     return node_paths(table(spark, folder, "edges"), Workspace(spark, "p4"))
 
 
@@ -63,7 +78,7 @@ def p5_counts(spark: SparkSession, folder: str) -> DataFrame:
     return p5_found(spark, folder).groupBy("snapshot_no", "change").agg(F.count("*").alias("n_ids"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_counts, p3_found, p3_counts, p4_found, p4_hierarchy, p4_paths, p5_found, p5_counts)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_counts, p3_found, p3_counts, p4_found, p4_hierarchy, p4_intervals, p4_descendants, p4_paths, p4_all_paths, p5_found, p5_counts)}
 
 TYPE, SOURCE, TARGET = f"upper({sql_trim('type')})", sql_trim("source"), sql_trim("target")
 
@@ -126,6 +141,11 @@ ORACLE = {
   select m.hierarchy, m.node as node_id, coalesce(root, '') as root_id, cast(coalesce(depth, -1) as int) as depth, n as n_descendants
   from members m left join ways using (hierarchy, node) left join below using (hierarchy, node)""",
     "p4_paths": f"with recursive {_UP} select hierarchy, node as node_id, path from ways",
+    "p4_descendants": f"""with recursive {_UP}, up as (
+  select hierarchy, node, parent as above from (select links.* from links join ways using (hierarchy, node)) union all select up.hierarchy, up.node, links.parent from up join links on links.hierarchy = up.hierarchy and links.node = up.above)
+  select hierarchy, above as node_id, node as descendant_id from up""",
+    "p4_all_paths": f"""with recursive {_UP}, members as (select hierarchy, node from links union select hierarchy, parent from links)
+  select hierarchy, node as node_id, path from members left join ways using (hierarchy, node)""",
     "p5_found": f"with {_SNAP} select snapshot_no, id, change from diff",
     "p5_counts": f"with {_SNAP} select snapshot_no, change, count(*) as n_ids from diff group by 1, 2",
 }

@@ -112,6 +112,14 @@ def tangle_mass(shares: DataFrame) -> DataFrame:
     return shares.groupBy("domain").agg((F.sum(F.col("share") * weight[F.col("triad")]) / 3).alias("tangle"))
 
 
+def tangle_ratio(imports: DataFrame, calls: DataFrame, unresolved: DataFrame) -> DataFrame:
+    """domain, tangle_ratio for each domain of ``unresolved``: the greater tangle of both layers' shares, that of calls fading with unresolved_ratio; 0 without triads."""
+    ti, tc = tangle_mass(imports).withColumnRenamed("tangle", "ti"), tangle_mass(calls).withColumnRenamed("tangle", "tc")
+    rows = unresolved.select("domain", "unresolved_ratio").join(ti, "domain", "left").join(tc, "domain", "left").na.fill(0.0, ["ti", "tc"])
+    keep = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("unresolved_ratio")))
+    return rows.select("domain", F.greatest("ti", keep * F.col("tc")).alias("tangle_ratio"))
+
+
 def tv_distance(shares: DataFrame, ideals: DataFrame) -> DataFrame:
     """domain, template, distance: half the summed differences between a domain's shares and a template's (template, triad, share)."""
     ideal = ideals.select("template", "triad", F.col("share").alias("ideal"))

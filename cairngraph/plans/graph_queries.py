@@ -518,8 +518,22 @@ def cycle_ratio(g):
 
 @query(f"""{_COUNTERS}, {_RATIO} select domain, cycle_ratio, unresolved_ratio, concat_ws(',', case when cycle_ratio > 0 then 'cycle_ratio' end, case when unresolved_ratio > 0.2 then 'unresolved_ratio' end) as breaches, cycle_ratio > 0 or unresolved_ratio > 0.2 as failed from cnt join rat using (domain)""", recursive=True)
 def hygiene_gate(g):
-    rows = motifs.cycle_ratio(g).join(motifs.fingerprint_counters(g).select("domain", "unresolved_ratio"), "domain")
-    return drift.hygiene_gate(rows, {k: drift.HYGIENE[k] for k in ("cycle_ratio", "unresolved_ratio")})
+    """All three limits; the SQL knows those of cycles and of unresolved calls only, that of hygiene_gate_whole all."""
+    return hygiene_gate_whole(g).drop("tangle_ratio")
+
+
+_TANGLE = f"""{_triad_sql('IMPORTS', 'i')}, {_shares_sql('i')}, {_triad_sql('CALLS', 'c')}, {_shares_sql('c')}, {_COUNTERS.replace('c as (', 'cc as (', 1).replace('from c group', 'from cc group')}, {_RATIO},
+  ti as (select domain, sum(share * {_WEIGHT}) / 3 as v from ish group by 1), tc as (select domain, sum(share * {_WEIGHT}) / 3 as v from csh group by 1),
+  hy as (select domain, cycle_ratio, unresolved_ratio, greatest(coalesce(ti.v, 0), greatest(0, least(1, 1 - unresolved_ratio)) * coalesce(tc.v, 0)) as tangle_ratio from cnt join rat using (domain) left join ti using (domain) left join tc using (domain))"""
+
+
+@query(f"""{_TANGLE} select domain, cycle_ratio, unresolved_ratio, round(tangle_ratio, 9) as tangle_ratio, concat_ws(',', case when cycle_ratio > 0 then 'cycle_ratio' end, case when unresolved_ratio > 0.2 then 'unresolved_ratio' end, case when tangle_ratio > 0.25 then 'tangle_ratio' end) as breaches,
+  cycle_ratio > 0 or unresolved_ratio > 0.2 or tangle_ratio > 0.25 as failed from hy""", recursive=True)
+def hygiene_gate_whole(g):
+    shares = lambda k: motifs.normalized(motifs.triad_census(motifs.domain_links(g, k)))
+    counters = g.work.save(motifs.fingerprint_counters(g).select("domain", "unresolved_ratio"))
+    rows = motifs.cycle_ratio(g).join(counters, "domain").join(motifs.tangle_ratio(shares("IMPORTS"), shares("CALLS"), counters), "domain")
+    return drift.hygiene_gate(rows).withColumn("tangle_ratio", F.round("tangle_ratio", 9))
 
 
 _TV = "{p}tv as (select domain, template, sum(abs(share - ideal)) / 2 as d from {p}sh join ideal using (triad) where domain in (select domain from {p}census group by 1 having sum(n) > 0) group by 1, 2)"

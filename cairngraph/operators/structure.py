@@ -108,12 +108,20 @@ def communities(graphs: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def package_graphs(g: Graph) -> tuple[DataFrame, DataFrame]:
-    """(package, a, b, weight) and (package, id): the file graphs of all top packages at once, ends as written."""
-    files = g.internal("FILE", "MODULE").select("id", F.substring_index("id", ".", 1).alias("package"))
+    """(package, a, b, weight) and (package, id): the file graphs of all top packages at once.
+
+    For each package an end is the file of it that its longest tail names alone, as in ``file_graph``,
+    so an end written with another root still links.
+    """
+    files = g.work.save(g.internal("FILE", "MODULE").select("id", F.substring_index("id", ".", 1).alias("package")))
     e = g.typed("IMPORTS", "CALLS").groupBy("source", "target").agg(F.sum("weight").alias("weight"))
-    s = files.select(F.col("id").alias("source"), F.col("package").alias("p"))
-    t = files.select(F.col("id").alias("target"), F.col("package").alias("q"))
-    ends = e.join(s, "source").join(t, "target").where("p = q and source <> target").select(F.col("p").alias("package"), F.col("source").alias("a"), F.col("target").alias("b"), "weight")
+    own = suffixes(files, "id").groupBy("package", "suffix").agg(F.min("id").alias("file"), F.countDistinct("id").alias("n"), F.max(F.when(F.col("suffix") == F.col("id"), F.col("id"))).alias("itself"))
+    own = own.where("n = 1 or itself is not null").select("package", "suffix", F.coalesce("itself", "file").alias("file"))
+    names = e.select(F.col("source").alias("name")).unionByName(e.select(F.col("target").alias("name"))).distinct().where(~F.col("name").startswith(RAW_CALL))
+    to = g.work.save(suffixes(names, "name").join(own, "suffix").groupBy("package", "name").agg(F.min_by("file", "start").alias("file")))
+    s = to.select("package", F.col("name").alias("source"), F.col("file").alias("a"))
+    t = to.select("package", F.col("name").alias("target"), F.col("file").alias("b"))
+    ends = e.join(s, "source").join(t, ["package", "target"]).where("a <> b").select("package", "a", "b", "weight")
     both = ends.unionByName(ends.select("package", F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
     return both.groupBy("package", "a", "b").agg(F.sum("weight").alias("weight")), files.select("package", "id")
 

@@ -139,14 +139,21 @@ def partition_divergence(labels: DataFrame, left: str, right: str, by: list[str]
     return all_.select(*by, "n", d.alias("divergence"))
 
 
-def layout_verdicts(found: DataFrame, split: float = 0.35, leave: float = 0.25, divergence: float = 0.2) -> DataFrame:
-    """package, modularity, divergence, direction, verdict from communities with their directory (``directory``)."""
+def layout_verdicts(found: DataFrame, graphs: DataFrame, split: float = 0.35, leave: float = 0.25, divergence: float = 0.2, min_connected: float = 0.5) -> DataFrame:
+    """package, modularity, divergence, direction, connected, verdict from communities with their directory (``directory``).
+
+    ``connected`` is the share of files with a link in ``graphs``; where it is below ``min_connected`` a
+    split or borderline package is left. One file, or no link at all, gives no_signal.
+    """
     d = partition_divergence(found, "community", "directory", ["package"])
     counts = found.groupBy("package").agg(F.max("modularity").alias("modularity"), F.countDistinct("community").alias("nc"), F.countDistinct("directory").alias("nd"))
-    rows = counts.join(d, "package").withColumn("direction", F.when(F.col("nd") < F.col("nc"), "under_split").when(F.col("nd") > F.col("nc"), "over_split").otherwise("matched"))
+    linked = found.join(graphs.select("package", F.col("a").alias("id")).distinct(), ["package", "id"], "left_semi").groupBy("package").agg(F.count("*").alias("linked"))
+    rows = counts.join(d, "package").join(linked, "package", "left").withColumn("connected", F.coalesce(F.col("linked") / F.col("n"), F.lit(0.0))).withColumn("direction", F.when(F.col("nd") < F.col("nc"), "under_split").when(F.col("nd") > F.col("nc"), "over_split").otherwise("matched"))
     q = F.col("modularity")
     verdict = F.when(q < leave, "leave").when(F.col("divergence") < divergence, "aligned").when((q >= split) & (F.col("direction") == "under_split"), "split").when((q >= split) & (F.col("direction") == "over_split"), "consolidate").otherwise("borderline")
-    return rows.select("package", "modularity", "divergence", "direction", verdict.alias("verdict"))
+    verdict = F.when(verdict.isin("split", "borderline") & (F.col("connected") < min_connected), "leave").otherwise(verdict)
+    none = (F.col("n") < 2) | (F.col("connected") == 0)
+    return rows.select("package", "modularity", F.when(none, 0.0).otherwise(F.col("divergence")).alias("divergence"), F.when(none, "matched").otherwise(F.col("direction")).alias("direction"), "connected", F.when(none, "no_signal").otherwise(verdict).alias("verdict"))
 
 
 def module_edges(g: Graph, prefix: str | None = None, exclude_tests: bool = True) -> DataFrame:

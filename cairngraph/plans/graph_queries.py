@@ -431,8 +431,10 @@ def communities(g):
 
 @query()
 def layout_verdicts(g):
-    found = structure.communities(*structure.package_graphs(g))
-    return structure.layout_verdicts(found.withColumn("directory", F.regexp_replace("id", r"\.[^.]*$", "")))
+    graphs, files = structure.package_graphs(g)
+    graphs = g.work.save(graphs)
+    found = g.work.save(structure.communities(graphs, files))
+    return structure.layout_verdicts(found.withColumn("directory", F.regexp_replace("id", r"\.[^.]*$", "")), graphs)
 
 
 @tables_query("""with d as (select lower(trim(source)) as source, lower(trim(lang)) as lang from documents where source is not null and lang is not null), n as (select count(*) as n from d),

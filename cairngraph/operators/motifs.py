@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairngraph.graph import Graph
@@ -248,3 +248,76 @@ def entropy_fit(ladder: DataFrame, least: int = 10) -> DataFrame:
     x = -F.log2("n_groups")
     live = ladder.where((F.col("n_triads") >= least) & (F.col("n_groups") > 1)).select(x.alias("x"), "entropy")
     return live.agg(F.regr_slope("entropy", "x").alias("slope"), F.regr_r2("entropy", "x").alias("r2"), F.count("*").alias("points"))
+
+
+def structural_groups(g: Graph) -> DataFrame:
+    """id, class, file, dirs: each node's group at the symbol's class and at its file, and the directories of that file.
+
+    The nearest one going up by containment, the node itself included; a node with none is its own
+    group. Ways up double each round until none moves; a way that never ends finds none.
+    """
+    nodes = g.nodes.select("id", "type", "file_path")
+    up = g.typed("CONTAINS", "DECLARES").select(F.col("target").alias("id"), F.col("source").alias("parent")).join(nodes.select(F.col("id").alias("parent")), "parent", "left_semi").groupBy("id").agg(F.min("parent").alias("parent"))
+    above = F.coalesce("parent", "id")
+    is_file = F.col("type").isin("FILE", "MODULE")
+    ways = g.work.save(nodes.join(up, "id", "left").select("id", F.when(is_file | (F.col("type") == "CLASS"), F.col("id")).otherwise(above).alias("c"), F.when(is_file, F.col("id")).otherwise(above).alias("f")))
+    for _ in range(ways.count().bit_length()):
+        far_c, far_f = ways.select(F.col("id").alias("c"), F.col("c").alias("c2")), ways.select(F.col("id").alias("f"), F.col("f").alias("f2"))
+        newer = g.work.save(ways.join(far_c, "c").join(far_f, "f").select("id", F.col("c2").alias("c"), F.col("f2").alias("f"), ((F.col("c") != F.col("c2")) | (F.col("f") != F.col("f2"))).alias("moved")))
+        moved = newer.where("moved").take(1)
+        ways = newer.drop("moved")
+        if not moved:
+            break
+    kinds = nodes.select(F.col("id").alias("c"), F.col("type").alias("ct")), nodes.select(F.col("id").alias("f"), F.col("type").alias("ft"))
+    found = nodes.join(ways, "id").join(kinds[0], "c").join(kinds[1], "f")
+    symbol = F.col("type").isin("FUNCTION", "METHOD", "VARIABLE")
+    cls = F.when(symbol & F.col("ct").isin("FILE", "MODULE", "CLASS"), F.col("c")).otherwise(F.col("id"))
+    found = found.select("id", cls.alias("class"), F.when(F.col("ft").isin("FILE", "MODULE"), F.col("f")).otherwise(F.col("id")).alias("file"))
+    parts = F.split(F.coalesce("file_path", F.lit("")), "/")
+    dirs = nodes.select(F.col("id").alias("file"), F.slice(parts, F.lit(1), F.size(parts) - 1).alias("dirs"))
+    return g.work.save(found.join(dirs, "file").select("id", "class", "file", "dirs"))
+
+
+def structural_ladder(g: Graph) -> DataFrame:
+    """layer, rung, name, n_groups, n_triads, entropy (bits, null without triads) of imports and of calls.
+
+    Rungs from the finest: symbol, class, module, then directories cut from the leaf, one part more a
+    rung, to the root. Groups without links count. A rung whose census is that of the one before is left out.
+    """
+    groups = structural_groups(g)
+    deepest = groups.agg(F.max(F.size("dirs"))).first()[0] or 0
+    names = ["T0_symbol", "T1_class", "T2_module", *(f"T{k + 2}_up{k}" for k in range(1, deepest + 1))]
+    cut = lambda k: F.array_join(F.slice("dirs", F.lit(1), F.greatest(F.size("dirs") - k + 1, F.lit(0))), "/")
+    ups = [F.when(cut(k) == "", "<root>").otherwise(cut(k)) for k in range(1, deepest + 1)]
+    rungs = g.work.save(groups.select("id", F.array(F.col("id"), F.col("class"), F.col("file"), *ups).alias("g")))
+    sizes = rungs.select(F.posexplode("g").alias("rung", "x")).distinct().groupBy("rung").agg(F.count("*").alias("n_groups"))
+    e = g.typed("IMPORTS", "CALLS").select("type", "source", "target").distinct()
+    e = e.join(rungs.select(F.col("id").alias("source"), F.col("g").alias("a")), "source").join(rungs.select(F.col("id").alias("target"), F.col("g").alias("b")), "target")
+    pairs = e.select("type", F.posexplode(F.arrays_zip("a", "b")).alias("rung", "p")).select(F.struct("type", "rung").alias("domain"), F.col("p.a").alias("src"), F.col("p.b").alias("dst"))
+    census = g.work.save(triad_census(g.work.save(pairs.where("src <> dst").distinct())))
+    total = census.groupBy("domain").agg(F.sum("n").alias("n_triads"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("n") > 0, F.concat_ws(":", "triad", "n")))), ",").alias("census"))
+    share = F.col("n") / F.col("n_triads")
+    bits = census.where("n > 0").join(total, "domain").groupBy("domain").agg(F.sum(-share * F.log2(share)).alias("entropy"))
+    measured = total.join(bits, "domain", "left").select(F.col("domain.type").alias("layer"), F.col("domain.rung").alias("rung"), "n_triads", "census", "entropy")
+    every = sizes.withColumn("layer", F.explode(F.array(F.lit("IMPORTS"), F.lit("CALLS"))))
+    rows = every.join(measured, ["layer", "rung"], "left").na.fill({"n_triads": 0, "census": ""})
+    before = F.lag("census").over(Window.partitionBy("layer").orderBy("rung"))  # as many rows as rungs
+    rows = rows.withColumn("before", before).where("before is null or before <> census")
+    return rows.select("layer", "rung", F.array(*map(F.lit, names))[F.col("rung")].alias("name"), "n_groups", "n_triads", "entropy")
+
+
+def ladder_fit(ladder: DataFrame, least: int = 10) -> DataFrame:
+    """layer, slope, r2, std_error, points, verdict: entropy on -log2 of the groups over live rungs.
+
+    Fewer than three live rungs, or rungs of one size, give nulls and no_signal; a slope within two
+    standard errors is scale_invariant, one above hierarchical, one below flat.
+    """
+    live = (F.col("n_triads") >= least) & (F.col("n_groups") > 1)
+    x, y = F.when(live, -F.log2("n_groups")), F.when(live, F.col("entropy"))
+    sums = ladder.groupBy("layer").agg(F.regr_sxx(y, x).alias("sxx"), F.regr_syy(y, x).alias("syy"), F.regr_sxy(y, x).alias("sxy"), F.count(y).alias("points"))
+    fits = (F.col("points") >= 3) & (F.col("sxx") >= 1e-12)
+    slope = F.col("sxy") / F.col("sxx")
+    res = F.greatest(F.lit(0.0), F.col("syy") - slope * F.col("sxy"))
+    rows = sums.select("layer", F.when(fits, slope).alias("slope"), F.when(fits, F.when(F.col("syy") > 1e-12, 1 - res / F.col("syy")).otherwise(0.0)).alias("r2"), F.when(fits, F.sqrt(res / (F.col("points") - 2) / F.col("sxx"))).alias("std_error"), "points")
+    band = 2 * F.col("std_error")
+    return rows.withColumn("verdict", F.when(F.col("slope").isNull(), "no_signal").when(F.col("slope") > band, "hierarchical").when(F.col("slope") < -band, "flat").otherwise("scale_invariant"))

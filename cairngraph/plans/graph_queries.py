@@ -617,6 +617,34 @@ def entropy_fit(g):
     return motifs.entropy_fit(motifs.tier_ladder(g, "IMPORTS")).select(F.round("slope", 6).alias("slope"), F.round("r2", 6).alias("r2"), "points")
 
 
+_NEAR = """{p}s as (select id, id as at from n union select {p}s.id, par.source from {p}s join n on n.id = {p}s.at and n.type not in ({stop}) join par on par.target = {p}s.at),
+  {p} as (select {p}s.id, {p}s.at from {p}s join n on n.id = {p}s.at where n.type in ({stop}))"""
+_STRUCTURAL_LADDER = f"""par as (select target, min(source) as source from e where type in ('CONTAINS', 'DECLARES') and source in (select id from n) group by 1),
+  {_NEAR.format(p='nf', stop="'FILE', 'MODULE'")}, {_NEAR.format(p='nc', stop="'FILE', 'MODULE', 'CLASS'")},
+  own as (select n.id, case when n.type in ('FUNCTION', 'METHOD', 'VARIABLE') then coalesce(nc.at, n.id) else n.id end as c, coalesce(nf.at, n.id) as f from n left join nc on nc.id = n.id left join nf on nf.id = n.id),
+  dirs as (select own.*, string_split(file_path, '/')[:-2] as p from own join n on n.id = own.f),
+  rung as materialized (select id, 0 as r, id as x from dirs union all select id, 1, c from dirs union all select id, 2, f from dirs
+    union all select id, k + 2, case when len(p) - k + 1 <= 0 then '<root>' else array_to_string(p[1:len(p) - k + 1], '/') end from dirs, (select unnest(range(1, (select max(len(p)) + 1 from dirs))) as k)),
+  {_triad_sql('', '', "select distinct e.type || ' ' || a.r as d, a.x as a, b.x as b from (select distinct type, source, target from e where type in ('IMPORTS', 'CALLS')) e join rung a on a.id = e.source join rung b on b.id = e.target and b.r = a.r where a.x <> b.x")},
+  {_SHARES}, size as (select r, count(distinct x) as n_groups from rung group by 1),
+  every as (select layer, r, n_groups, (select sum(n) from census where domain = layer || ' ' || r) as t, (select list((triad, n) order by triad) from census where domain = layer || ' ' || r and n > 0) as c, (select sum(-share * log2(share)) from sh where domain = layer || ' ' || r and share > 0) as entropy from size, (select unnest(['IMPORTS', 'CALLS']) as layer)),
+  sl as (select layer, r as rung, n_groups, coalesce(t, 0) as n_triads, entropy from (select *, lag(c) over w as was, row_number() over w as k from every window w as (partition by layer order by r)) where k = 1 or was is distinct from c)"""
+
+
+@query(f"{_STRUCTURAL_LADDER} select layer, cast(rung as int) as rung, case rung when 0 then 'T0_symbol' when 1 then 'T1_class' when 2 then 'T2_module' else 'T' || rung || '_up' || (rung - 2) end as name, n_groups, cast(n_triads as bigint) as n_triads, round(entropy, 9) as entropy from sl", recursive=True)
+def structural_ladder(g):
+    return motifs.structural_ladder(g).withColumn("entropy", F.round("entropy", 9))
+
+
+@query(f"""{_STRUCTURAL_LADDER}, xy as (select layer, case when n_triads >= 10 and n_groups > 1 then -log2(n_groups) end as x, case when n_triads >= 10 and n_groups > 1 then entropy end as y from sl),
+  ft as (select layer, regr_slope(y, x) as b, regr_sxx(y, x) as sxx, regr_syy(y, x) as syy, regr_r2(y, x) as r2, regr_count(y, x) as points from xy group by 1),
+  se as (select layer, points, case when points >= 3 and sxx >= 1e-12 then b end as slope, case when points >= 3 and sxx >= 1e-12 then case when syy > 1e-12 then r2 else 0 end end as r2, case when points >= 3 and sxx >= 1e-12 then sqrt(greatest(0, syy - b * b * sxx) / (points - 2) / sxx) end as std_error from ft)
+  select layer, round(slope, 6) as slope, round(r2, 6) as r2, round(std_error, 6) as std_error, cast(points as bigint) as points, case when slope is null then 'no_signal' when slope > 2 * std_error then 'hierarchical' when slope < -2 * std_error then 'flat' else 'scale_invariant' end as verdict from se""", recursive=True)
+def ladder_fit(g):
+    fit = motifs.ladder_fit(motifs.structural_ladder(g))
+    return fit.select("layer", *[F.round(c, 6).alias(c) for c in ("slope", "r2", "std_error")], "points", "verdict")
+
+
 @query("select distinct split_part(id, '.', 1) as prefix from n where file_path <> 'EXTERNAL'")
 def domain_discovery(g):
     return drift.domain_discovery(g.nodes)

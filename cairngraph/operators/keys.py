@@ -10,6 +10,8 @@ from cairngraph.graph import Graph
 from cairngraph.schema import KEY_TYPES
 
 MAX_FILES = 8
+# Parts of paths that say nothing of the data.
+COMMON_PARTS = ("id", "name", "type", "data", "value", "key", "items", "result")
 #: Lines of one bucket of the span join.
 SPAN_BUCKET = 64
 
@@ -37,7 +39,8 @@ def key_specificity(sites: DataFrame) -> DataFrame:
     rows = sites.groupBy("key", "namespace", "path").agg(F.countDistinct("file_path").alias("n_files"))
     scoped = F.col("namespace") != ""
     score = F.size(F.split("path", "[.]")) + scoped.cast("int") - F.log2(F.greatest("n_files", F.lit(1)))
-    return rows.select("key", "n_files", score.alias("specificity"), (~scoped & (F.col("n_files") > MAX_FILES)).alias("dropped"))
+    common = F.forall(F.split("path", "[.]"), lambda part: part.isin(*COMMON_PARTS))
+    return rows.select("key", "n_files", score.alias("specificity"), (~scoped & (common | (F.col("n_files") > MAX_FILES))).alias("dropped"))
 
 
 def keys_inside(sites: DataFrame) -> DataFrame:

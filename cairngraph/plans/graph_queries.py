@@ -348,6 +348,14 @@ def impact_coverage(g):
     return traversal.upstream_coverage(g, traversal.walk(g, [HUB], True, 1, dispatch=False).reached)
 
 
+@query(f"""{_walk_sql(HUB, "target", "source", 5, _WALK_TYPES, True).rsplit(" select ", 1)[0]}, hit as (select id, name from n where id in (select id from w) and namespace = 'INTERNAL' and type in ('FUNCTION', 'METHOD', 'CLASS'))
+  select (select count(*) from e where type = 'CALLS' and target in (select id from hit)) as path_calls,
+    (select count(*) from e where type = 'CALLS' and target in (select id from n where namespace = 'UNKNOWN' and name in (select name from hit) union select 'raw_call:' || name from hit)) as hidden_calls""", recursive=True)
+def impact_coverage_whole(g):
+    """The whole impact walk, five steps and dispatch; impact_coverage counts at one step."""
+    return traversal.upstream_coverage(g, traversal.walk(g, [HUB], True, 5).reached)
+
+
 @query("""w(id, d) as (select 'harborline', 0 union select e.target, d + 1 from w join e on e.source = w.id and e.type in ('CONTAINS', 'DECLARES') where d < 4) select id, cast(min(d) as int) as depth from w group by 1""", recursive=True)
 def structure_tree(g):
     return traversal.structure(g, "harborline", 4)

@@ -1,13 +1,14 @@
-"""The clean graph: living nodes and unique edges, materialised once for a folder and session."""
+"""The clean graph: living nodes and unique edges, materialised once for each state of a folder's files."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairngraph.operators.skew import hot_keys, split_join
 from cairngraph.schema import EDGE_COLUMNS, EXTERNAL_PATH, NODE_COLUMNS
 from cairngraph.sources.tables import table, unique_edges
-from cairngraph.workspace import Workspace
+from cairngraph.workspace import Workspace, version
 
 
 def living_nodes(nodes: DataFrame) -> DataFrame:
@@ -21,6 +22,7 @@ class Graph:
 
     def __init__(self, nodes: DataFrame, edges: DataFrame, work: Workspace):
         self.nodes, self.edges, self.work = nodes, edges, work
+        self._hot: dict[str, list[int]] = {}
 
     @classmethod
     def of(cls, nodes: DataFrame, edges: DataFrame, work: Workspace) -> Graph:
@@ -30,10 +32,23 @@ class Graph:
 
     @classmethod
     def load(cls, spark: SparkSession, folder: str) -> Graph:
+        """The clean graph of a folder; kept until the files of its tables change."""
         key = (spark.sparkContext.applicationId, folder)
-        if key not in cls._loaded:
-            cls._loaded[key] = cls.of(table(spark, folder, "nodes"), table(spark, folder, "edges"), Workspace(spark, "graph"))
-        return cls._loaded[key]
+        state = tuple(version(spark, f"{folder}/{t}.parquet") for t in ("nodes", "edges"))
+        held = cls._loaded.get(key)
+        if held is None or held[0] != state:
+            held = cls._loaded[key] = (state, cls.of(table(spark, folder, "nodes"), table(spark, folder, "edges"), Workspace(spark, "graph")))
+        return held[1]
+
+    def hot(self, end: str) -> list[int]:
+        """Hashes of the ids that very many edges have as ``end`` (source or target), counted once."""
+        if end not in self._hot:
+            self._hot[end] = hot_keys(self.edges.groupBy(end).agg(F.count("*").alias("n")), [end])
+        return self._hot[end]
+
+    def meet(self, edges: DataFrame, side: DataFrame, end: str, how: str = "inner") -> DataFrame:
+        """Edges joined on ``end`` with ``side``, which has one row for an id; a hub's edges stay where they are."""
+        return split_join(edges, side, [end], how, self.hot(end))
 
     def typed(self, *types: str) -> DataFrame:
         return self.edges.where(F.col("type").isin(*types))

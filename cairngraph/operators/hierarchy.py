@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairngraph.functions.text import trimmed, upper_word
-from cairngraph.operators.skew import salted_prefix, salts_for, sized_join
+from cairngraph.operators.skew import ROWS_PER_SALT, extent, hot_keys, salted_prefix, sized_join, split_join
 from cairngraph.workspace import Workspace
 
 #: Peeling goes on while a round takes at least this share of what is left.
@@ -33,19 +33,39 @@ def parent_links(edges: DataFrame) -> DataFrame:
 
 
 def _numbered(links: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]:
-    """links with 64-bit numbers, and the dictionary of numbers. A seed is drawn until no two nodes share a number."""
-    for seed in range(64):
-        number = lambda c: F.xxhash64(F.lit(seed), "hierarchy", c)  # noqa: E731,B023
-        ends = links.select("hierarchy", F.explode(F.array("node", "parent")).alias("name"))
-        names = work.save(ends.groupBy("hierarchy", "name").agg(F.lit(1).alias("_")).select(number("name").alias("no"), "hierarchy", "name"))
-        if not names.groupBy("no").count().where("count > 1").take(1):
-            return links.select(number("node").alias("no"), number("parent").alias("up")), names
-    raise AssertionError("64 seeds collided")
+    """links with numbers, and the dictionary of numbers (no, hierarchy, name).
 
-
-def _hang(level: DataFrame, parents: DataFrame, rows: int) -> DataFrame:
-    """Leaves with their parents' columns; a parent with very many leaves is spread."""
-    return level.join(parents, "up") if salts_for(rows) == 1 else sized_join(level, parents, ["up"], "inner", 1 << 60, rows)
+    Numbers are 64-bit hashes; names whose hashes meet, of 10^10 names some three, get the numbers
+    from the least long on instead, which no hash of the table has.
+    """
+    number = F.xxhash64(F.lit("hierarchy"), "hierarchy", "name")
+    ends = links.select("hierarchy", F.explode(F.array("node", "parent")).alias("name"))
+    names = work.save(ends.groupBy("hierarchy", "name").agg(F.lit(1).alias("_")).select(number.alias("no"), "hierarchy", "name"))
+    met = names.groupBy("no").count().where("count > 1").select("no")
+    hash_of = lambda c: F.xxhash64(F.lit("hierarchy"), "hierarchy", c)
+    if not met.take(1):
+        return links.select(hash_of("node").alias("no"), hash_of("parent").alias("up")), names
+    return _renumbered(links, names, work.save(names.join(met, "no", "left_semi")), work)
+
+
+def _renumbered(links: DataFrame, names: DataFrame, met: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]:
+    """Numbers where the hashes of the names in ``met``, a handful, meet: those count up from the least long."""
+    places = met.count()
+    held = names.join(met, ["hierarchy", "name"], "left_anti")
+    span = places
+    while True:
+        free = work.save(work.spark.range(span).select((F.lit(-(1 << 63)) + F.col("id")).alias("no")).join(held, "no", "left_anti"))
+        if free.count() >= places:
+            break
+        span *= 2
+    in_order = lambda d, order, name: d.withColumn(name, F.row_number().over(Window.orderBy(*order)))
+    own = in_order(met.select("hierarchy", "name"), ["hierarchy", "name"], "_k").join(in_order(free, ["no"], "_k"), "_k").select("no", "hierarchy", "name")
+    own = work.save(own)
+    every = work.save(held.select("no", "hierarchy", "name").unionByName(own))
+    fixed = lambda c, n: F.broadcast(own.select("hierarchy", F.col("name").alias(c), F.col("no").alias(n)))
+    both = links.join(fixed("node", "_n"), ["hierarchy", "node"], "left").join(fixed("parent", "_p"), ["hierarchy", "parent"], "left")
+    hash_of = lambda c: F.xxhash64(F.lit("hierarchy"), "hierarchy", c)
+    return both.select(F.coalesce("_n", hash_of("node")).alias("no"), F.coalesce("_p", hash_of("parent")).alias("up")), every
 
 
 def _rank(tour: DataFrame, work: Workspace) -> DataFrame:
@@ -91,9 +111,10 @@ def forest(links: DataFrame, work: Workspace) -> DataFrame:
         sums = placed.groupBy("up").agg(F.sum("size").alias("more"), F.count("*").alias("gone")).withColumnRenamed("up", "no")
         rest = left.where("children > 0 or up is null").join(sums, "no", "left")
         newer = work.save(rest.select("no", "up", (F.col("children") - F.coalesce("gone", F.lit(0))).alias("children"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"), F.col("size").alias("held")))
-        # A leaf starts behind what its parent held before this round.
+        # A leaf starts behind what its parent held before this round. Parents with very many leaves are joined where the leaves are.
         held = newer.select(F.col("no").alias("up"), "held")
-        peeled.append((work.save(_hang(placed, held, taken).select("no", "up", "size", (F.col("prefix") + F.col("held")).alias("offset"))), taken))
+        hot = hot_keys(sums.select(F.col("no").alias("up"), F.col("gone").alias("n")), ["up"], taken) if taken > ROWS_PER_SALT else []
+        peeled.append((work.save(split_join(placed, held, ["up"], "inner", hot).select("no", "up", "size", (F.col("prefix") + F.col("held")).alias("offset"))), hot))
         work.drop(placed)
         left, n = newer, n - taken
     # The Euler tour of the rest. Element 2k is the entry of node k, 2k + 1 its exit; numbers may be any longs, so a pair says it.
@@ -110,16 +131,16 @@ def forest(links: DataFrame, work: Workspace) -> DataFrame:
     at = ranked.groupBy("elem.k").agg(F.max("last.k").alias("root"), F.max(F.when(~F.col("elem.out"), F.col("width"))).alias("behind"), F.max(F.when(F.col("elem.out"), F.col("width"))).alias("after"), F.max(F.when(~F.col("elem.out"), F.col("rise"))).alias("rise")).withColumnRenamed("k", "no")
     done = work.save(core.join(at, "no"))
     roots = work.save(done.where("up is null").select("root", F.col("behind").alias("all")))
-    done = sized_join(done, roots, ["root"], "left", roots.count(), left.count())
+    done = sized_join(done, roots, ["root"], "left", extent(roots), big_rows=n + 1)
     ends_well = F.col("root").isNotNull()
     parts = [work.save(done.select("no", "up", "root", F.when(ends_well, 1 - F.col("rise")).otherwise(-1).cast("int").alias("depth"), F.when(ends_well, F.col("all") - F.col("behind")).alias("entry"), F.when(ends_well, F.col("all") - F.col("after")).alias("exit")))]
-    for level, taken in reversed(peeled):
+    for level, hot in reversed(peeled):
         above = parts[0]
         for p in parts[1:]:
             above = above.unionByName(p)
         parents = above.select(F.col("no").alias("up"), "root", F.col("depth").alias("above"), F.col("entry").alias("start"))
         start = F.col("start") + F.col("offset")
-        parts.append(work.save(_hang(level, parents, taken).select("no", "up", "root", F.when(F.col("above") < 0, -1).otherwise(F.col("above") + 1).cast("int").alias("depth"), start.alias("entry"), (start + F.col("size")).alias("exit"))))
+        parts.append(work.save(split_join(level, parents, ["up"], "inner", hot).select("no", "up", "root", F.when(F.col("above") < 0, -1).otherwise(F.col("above") + 1).cast("int").alias("depth"), start.alias("entry"), (start + F.col("size")).alias("exit"))))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -135,7 +156,7 @@ def node_hierarchies(edges: DataFrame, work: Workspace) -> DataFrame:
     links, names = _numbered(work.save(parent_links(edges)), work)
     found = work.save(forest(links, work).join(names, "no"))
     roots = work.save(found.where("up is null").select(F.col("no").alias("root"), F.col("name").alias("root_id")))
-    out = sized_join(found, roots, ["root"], "left", roots.count(), found.count())
+    out = sized_join(found, roots, ["root"], "left", extent(roots))
     return out.select("hierarchy", F.col("name").alias("node_id"), F.coalesce("root_id", F.lit("")).alias("root_id"), "depth", "entry", "exit", (F.col("exit") - F.col("entry") - 1).alias("n_descendants"), F.col("up").isNotNull().alias("has_parent"))
 
 

@@ -10,18 +10,21 @@ from cairngraph.operators.components import connected_components, strong_compone
 from cairngraph.operators.traversal import min_depths
 from cairngraph.schema import EXTERNAL_PATH, HEALTH_TYPES, STRUCTURAL, USE_TYPES
 
+#: Links of one bucket of PageRank, about.
+LINKS_PER_BUCKET = 2_000_000
+
 
 def _ends(g: Graph, edges: DataFrame, *columns: str) -> DataFrame:
     s = g.nodes.select(F.col("id").alias("source"), *[F.col(c).alias(f"source_{c}") for c in columns])
     t = g.nodes.select(F.col("id").alias("target"), *[F.col(c).alias(f"target_{c}") for c in columns])
-    return edges.join(s, "source").join(t, "target")
+    return g.meet(g.meet(edges, s, "source"), t, "target")
 
 
 def node_coupling(g: Graph) -> DataFrame:
     """id, type, in_degree (calls from anywhere), out_degree (calls of internal code) of functions and methods; parallel calls count."""
     calls = g.typed("CALLS").select("source", "target")
     into = calls.groupBy(F.col("target").alias("id")).agg(F.count("*").alias("in_degree"))
-    out = calls.join(g.internal().select(F.col("id").alias("target")), "target", "left_semi").groupBy(F.col("source").alias("id")).agg(F.count("*").alias("out_degree"))
+    out = g.meet(calls, g.internal().select(F.col("id").alias("target")), "target", "left_semi").groupBy(F.col("source").alias("id")).agg(F.count("*").alias("out_degree"))
     rows = g.internal("FUNCTION", "METHOD").select("id", "type").join(into, "id", "left").join(out, "id", "left")
     return rows.na.fill(0, ["in_degree", "out_degree"])
 
@@ -29,7 +32,7 @@ def node_coupling(g: Graph) -> DataFrame:
 def god_classes(g: Graph) -> DataFrame:
     """id, declares: members of each class."""
     classes = g.nodes.where("type = 'CLASS'").select(F.col("id").alias("source"))
-    return g.typed("DECLARES").join(classes, "source", "left_semi").groupBy(F.col("source").alias("id")).agg(F.count("*").alias("declares"))
+    return g.meet(g.typed("DECLARES").select("source"), classes, "source", "left_semi").groupBy(F.col("source").alias("id")).agg(F.count("*").alias("declares"))
 
 
 def file_coupling(g: Graph) -> DataFrame:
@@ -89,10 +92,13 @@ def pagerank(g: Graph, iterations: int = 20, damping: float = 0.85) -> DataFrame
     n = nodes.count()
     if not n:
         return nodes.withColumn("rank", F.lit(0.0))
-    inside = g.typed("CALLS").select("source", "target").join(nodes.withColumnRenamed("id", "source"), "source", "left_semi").join(nodes.withColumnRenamed("id", "target"), "target", "left_semi")
+    calls = g.meet(g.typed("CALLS").select("source", "target"), nodes.withColumnRenamed("id", "source"), "source", "left_semi")
+    inside = g.meet(calls, nodes.withColumnRenamed("id", "target"), "target", "left_semi")
     links = inside.groupBy("source", "target").agg(F.count("*").alias("m"))
     degree = inside.groupBy("source").agg(F.count("*").alias("degree"))
-    links = g.work.save(links.join(degree, "source").select("source", "target", (F.col("m") / F.col("degree")).alias("share")))
+    # The links lie in buckets of their source from here on: a round exchanges ranks and flows, never the links.
+    shares = links.join(degree, "source").select("source", "target", (F.col("m") / F.col("degree")).alias("share"))
+    links = g.work.save_bucketed(shares, "source", max(1, -(-g.edges.count() // LINKS_PER_BUCKET)))
     base = g.work.save(nodes.join(degree.select(F.col("source").alias("id"), F.lit(False).alias("dangling")), "id", "left").select("id", F.coalesce("dangling", F.lit(True)).alias("dangling")))
     rank = base.withColumn("rank", F.lit(1.0 / n))
     for i in range(iterations):
@@ -174,5 +180,5 @@ def orphan_classes(g: Graph) -> DataFrame:
     own = classes.withColumn("parent", F.regexp_replace("id", r"\.[^.]*$", ""))
     nested = own.where("parent <> id").join(parents, "parent", "left_semi").select("id")
     sources = g.nodes.where("not is_test").select(F.col("id").alias("source"))
-    used = g.typed(*USE_TYPES).join(sources, "source", "left_semi").select(F.col("target").alias("id")).distinct()
+    used = g.meet(g.typed(*USE_TYPES).select("source", "target"), sources, "source", "left_semi").select(F.col("target").alias("id")).distinct()
     return classes.join(nested, "id", "left_anti").join(used, "id", "left_anti")

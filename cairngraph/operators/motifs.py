@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cairngraph.graph import Graph
 from cairngraph.operators.components import strong_components
+from cairngraph.operators.skew import split_join
 from cairngraph.operators.storage import unresolved
 
 # The thirteen connected triads.
@@ -96,7 +97,8 @@ def domain_links(g: Graph, kind: str, depth: int = 1) -> DataFrame:
     """domain (first ``depth`` parts), src, dst of edges of a type within one domain, both ends being nodes."""
     top = lambda c: F.substring_index(c, ".", depth)
     e = g.typed(kind).select(F.col("source").alias("src"), F.col("target").alias("dst")).where(top("src") == top("dst"))
-    e = e.join(g.nodes.select(F.col("id").alias("src")), "src", "left_semi").join(g.nodes.select(F.col("id").alias("dst")), "dst", "left_semi")
+    ids = lambda c: g.nodes.select(F.col("id").alias(c))
+    e = split_join(split_join(e, ids("src"), ["src"], "left_semi", g.hot("source")), ids("dst"), ["dst"], "left_semi", g.hot("target"))
     return e.select(top("src").alias("domain"), "src", "dst")
 
 
@@ -139,7 +141,7 @@ def fingerprint_counters(g: Graph, depth: int = 1, hub: int = 2, star: int = 3,
     importers = g.typed("IMPORTS").select(F.col("target").alias("source"), F.col("source").alias("target")).distinct()
     met = every.join(importers, ["source", "target"], "left_semi").select(F.col("source").alias("id"), F.lit(True).alias("met")).distinct()
     space = g.nodes.select(F.col("id").alias("target"), F.col("namespace").alias("target_namespace"))
-    bad = every.join(space, "target", "left").groupBy(F.col("source").alias("id")).agg(F.count(F.when(unresolved(), 1)).alias("bad"))
+    bad = g.meet(every, space, "target", "left").groupBy(F.col("source").alias("id")).agg(F.count(F.when(unresolved(), 1)).alias("bad"))
     rows = nodes.join(into, "id", "left").join(out, "id", "left").join(total, "id", "left").join(met, "id", "left").join(bad, "id", "left").na.fill(0)
     count = lambda c: F.count(F.when(c, 1))
     out_ = rows.groupBy("domain").agg(F.count("*").alias("n_nodes"), count((F.col("fan_in") > hub) & (F.col("fan_out") == 0)).alias("hubs"), count((F.col("fan_out") > star) & (F.col("fan_in") <= 1)).alias("stars"), count((F.col("all_out") > router) & F.col("met").isNull()).alias("routers"), F.sum("bad").alias("bad"), F.sum("all_out").alias("calls"))
@@ -211,7 +213,7 @@ def quotient_edges(g: Graph, depth: int = 1) -> DataFrame:
     top = lambda c: F.substring_index(c, ".", depth)
     inside = g.internal().select("id")
     e = g.typed("IMPORTS", "CALLS").select("source", "target", "type")
-    e = e.join(inside.withColumnRenamed("id", "source"), "source", "left_semi").join(inside.withColumnRenamed("id", "target"), "target", "left_semi")
+    e = g.meet(g.meet(e, inside.withColumnRenamed("id", "source"), "source", "left_semi"), inside.withColumnRenamed("id", "target"), "target", "left_semi")
     return e.groupBy(top("source").alias("source"), top("target").alias("target"), "type").agg(F.count("*").alias("weight")).where("source <> target")
 
 
@@ -226,7 +228,7 @@ def assign_domains(ids: DataFrame, prefixes: DataFrame) -> DataFrame:
 def call_tally(g: Graph, depth: int = 1) -> DataFrame:
     """domain, unresolved, total calls that leave internal nodes."""
     space = g.nodes.select(F.col("id").alias("target"), F.col("namespace").alias("target_namespace"))
-    e = g.typed("CALLS").select("source", "target").join(g.internal().select(F.col("id").alias("source")), "source", "left_semi").join(space, "target", "left")
+    e = g.meet(g.meet(g.typed("CALLS").select("source", "target"), g.internal().select(F.col("id").alias("source")), "source", "left_semi"), space, "target", "left")
     return e.groupBy(F.substring_index("source", ".", depth).alias("domain")).agg(F.count(F.when(unresolved(), 1)).alias("unresolved"), F.count("*").alias("total"))
 
 

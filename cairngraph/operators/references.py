@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairngraph.functions.text import is_name, trimmed
-from cairngraph.operators.skew import BROADCAST_ROWS, running_max, sized_join
+from cairngraph.operators.skew import extent, running_max, sized_join
 from cairngraph.workspace import Workspace
 
 #: Rows of history that one part of the scan for deletions holds.
@@ -21,7 +21,7 @@ def references(edges: DataFrame) -> DataFrame:
     return refs.select("edge_id", "e.side", "e.key", "t").where(F.col("edge_id").isNotNull() & F.col("t").isNotNull() & F.col("key").isNotNull() & ~is_name("key"))
 
 
-def orphan_references(edges: DataFrame, nodes: DataFrame, work: Workspace, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def orphan_references(edges: DataFrame, nodes: DataFrame, work: Workspace, broadcast_bytes: int | None = None) -> DataFrame:
     """edge_id, side, t, reason of each reference without a node at the edge's time t, its earliest arrival.
 
     ``missing``: no node row has the key; ``late``: the first one came after t; ``deleted``: none of
@@ -32,25 +32,26 @@ def orphan_references(edges: DataFrame, nodes: DataFrame, work: Workspace, broad
     The distinct keys are anti-joined with the nodes' ids. A key whose first node that was never
     deleted came before the key was first used can have no orphan. What remains, the suspects, is
     joined back to the references; edges need not be made unique before, as all rows of one edge
-    have the same ends.
+    have the same ends. Suspects of more than ``broadcast_bytes`` are exchanged, those of hot keys, counted on the way, are not.
     """
     refs = references(edges)
-    keys = work.save(refs.groupBy("key").agg(F.min("t").alias("first_use")))
+    keys = work.save(refs.groupBy("key").agg(F.min("t").alias("first_use"), F.count("*").alias("n")))
     living = nodes.where("id is not null and ingested_at is not null")
-    known = living.groupBy("id").agg(F.min("ingested_at").alias("first"), F.min(F.when(F.col("deleted_at").isNull(), F.col("ingested_at"))).alias("kept_from"))
-    missing = keys.join(known, keys["key"] == known["id"], "left_anti").select("key", F.lit(None).cast("timestamp").alias("first"), F.lit(None).cast("timestamp").alias("kept_from"))
-    unsure = keys.join(known, keys["key"] == known["id"]).where("kept_from is null or kept_from > first_use").select("key", "first", "kept_from")
+    known = living.groupBy("id").agg(F.min("ingested_at").alias("first"), F.min(F.when(F.col("deleted_at").isNull(), F.col("ingested_at"))).alias("kept_from"), F.count("*").alias("n_told"))
+    missing = keys.join(known, keys["key"] == known["id"], "left_anti").select("key", F.lit(None).cast("timestamp").alias("first"), F.lit(None).cast("timestamp").alias("kept_from"), "n", F.lit(0).cast("long").alias("n_told"))
+    unsure = keys.join(known, keys["key"] == known["id"]).where("kept_from is null or kept_from > first_use").select("key", "first", "kept_from", "n", "n_told")
     suspects = work.save(missing.unionByName(unsure))
-    n = suspects.count()
-    hits = sized_join(refs, suspects, ["key"], "inner", n, None, broadcast_rows).groupBy("edge_id", "side", "key", "first", "kept_from").agg(F.min("t").alias("t"))
+    names = suspects.select("key", "first", "kept_from")
+    counts = suspects.select("key", "n")
+    hits = sized_join(refs, names, ["key"], "inner", extent(names), counts, limit=broadcast_bytes).groupBy("edge_id", "side", "key", "first", "kept_from").agg(F.min("t").alias("t"))
     hits = work.save(hits.where("kept_from is null or t < kept_from"))
     sure = hits.where("first is null or t < first").select("edge_id", "side", "t", F.when(F.col("first").isNull(), "missing").otherwise("late").alias("reason"))
     # Between the first node and the first one that stays, each time needs the node's history.
     between = hits.where("first <= t")
     asked = between.select("key", F.col("t").alias("at")).distinct()
-    n_between = suspects.where("first is not null").count()
+    known_keys = suspects.where("first is not null")
     told = living.select(F.col("id").alias("key"), F.col("ingested_at").alias("at"), F.expr(f"coalesce(deleted_at, {FOREVER})").alias("until"))
-    told = sized_join(told, suspects.where("first is not null").select("key"), ["key"], "left_semi", n_between, None, broadcast_rows).groupBy("key", "at").agg(F.max("until").alias("until"))
+    told = sized_join(told, known_keys.select("key"), ["key"], "left_semi", extent(known_keys.select("key")), known_keys.select("key", F.col("n_told").alias("n")), limit=broadcast_bytes).groupBy("key", "at").agg(F.max("until").alias("until"))
     history = told.withColumn("kind", F.lit(0)).unionByName(asked.withColumn("kind", F.lit(1)).withColumn("until", F.lit(None).cast("timestamp")))
     history = work.save(history)
     parts = max(8, -(-history.count() // ROWS_PER_PART))

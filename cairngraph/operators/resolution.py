@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairngraph.graph import Graph
+from cairngraph.operators.skew import hot_keys, split_join
 from cairngraph.operators.structure import suffixes
 from cairngraph.operators.traversal import min_depths
 
@@ -25,11 +26,13 @@ def resolve_raw_calls(g: Graph) -> DataFrame:
     raw = g.typed("CALLS").where(F.col("target").startswith("raw_call:")).select(F.col("id").alias("edge_id"), "source", F.substr("target", F.lit(10)).alias("name"))
     callable_ = g.internal("FUNCTION", "METHOD", "CLASS").select("id", "name", "language", "file_path")
     callers = g.nodes.select(F.col("id").alias("source"), "language", "file_path")
-    calls = raw.join(callers, "source", "left")
+    calls = g.meet(raw, callers, "source", "left")
     one = lambda *by: callable_.groupBy("name", *by).agg(F.min("id").alias("id"), F.count("*").alias("n")).where("n = 1").drop("n")
     whole = one("language").withColumnRenamed("id", "in_language")
     near = one("file_path").withColumnRenamed("id", "in_file")
-    out = calls.join(whole, ["name", "language"], "left").join(near, ["name", "file_path"], "left")
+    # A name that is called everywhere is a hot key of both joins; names are those of raw targets.
+    hot = lambda c: hot_keys(calls.groupBy("name", c).agg(F.count("*").alias("n")), ["name", c]) if g.hot("target") else []
+    out = split_join(split_join(calls, whole, ["name", "language"], "left", hot("language")), near, ["name", "file_path"], "left", hot("file_path"))
     found = F.coalesce("in_language", "in_file")
     return out.select("edge_id", found.alias("resolved"), F.when(found.isNotNull(), 1.0).otherwise(0.8).alias("confidence"))
 
@@ -45,7 +48,7 @@ def classify_targets(g: Graph) -> DataFrame:
 
 def capped_confidence(g: Graph) -> DataFrame:
     """type, confidence, n of edges, no more than 0.8 into nodes of unknown origin."""
-    e = g.edges.select("type", "confidence", "target").join(g.nodes.where("namespace = 'UNKNOWN'").select(F.col("id").alias("target"), F.lit(True).alias("unknown")), "target", "left")
+    e = g.meet(g.edges.select("type", "confidence", "target"), g.nodes.where("namespace = 'UNKNOWN'").select(F.col("id").alias("target"), F.lit(True).alias("unknown")), "target", "left")
     return e.groupBy("type", F.when(F.col("unknown"), F.least("confidence", F.lit(0.8))).otherwise(F.col("confidence")).alias("confidence")).agg(F.count("*").alias("n"))
 
 

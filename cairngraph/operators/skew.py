@@ -2,13 +2,33 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A side of at most this many rows may be sent to every executor.
-BROADCAST_ROWS = 200_000
-#: Rows of one key that one task may hold.
+#: A side of at most this many bytes, as ``extent`` reckons them, may be sent to every executor.
+BROADCAST_BYTES = 8 << 20
+#: Rows of one key that one task may hold; with very many rows in all, as many as MOST_HOT keys leave.
 ROWS_PER_SALT = 250_000
+#: Keys that are treated as hot, at most: what is sent to every executor for them stays below this many rows.
+MOST_HOT = 20_000
+
+
+@dataclass(frozen=True)
+class Extent:
+    rows: int
+    bytes: int
+
+
+def extent(df: DataFrame) -> Extent:
+    """Rows of ``df`` and about how many bytes they take in memory, by one aggregate; save ``df`` first."""
+    each = F.lit(16 + 16 * len(df.columns))
+    for c, kind in df.dtypes:
+        if kind in ("string", "binary"):
+            each = each + F.coalesce(F.octet_length(c), F.lit(0))
+    n, size = df.agg(F.count("*"), F.coalesce(F.sum(each), F.lit(0))).first()
+    return Extent(n, int(size))
 
 
 def salts_for(rows: int, rows_per_salt: int = ROWS_PER_SALT) -> int:
@@ -16,21 +36,47 @@ def salts_for(rows: int, rows_per_salt: int = ROWS_PER_SALT) -> int:
     return max(1, -(-rows // rows_per_salt))
 
 
-def sized_join(big: DataFrame, small: DataFrame, on: list[str], how: str, small_rows: int, big_rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Join ``big`` with ``small`` (counted before: ``small_rows``), which may be skewed on ``big``'s side.
+def hot_keys(counts: DataFrame, on: list[str], rows: int | None = None) -> list[int]:
+    """Hashes of the keys that hold more rows than one task may, from their counts (``on``, n).
 
-    Up to ``limit`` rows the small side is broadcast. Beyond that every row of ``big`` draws a salt
-    and ``small`` is repeated once for each salt, so that one key is spread over that many tasks.
-    ``how`` is inner, left, left_semi or left_anti: in each the small side may be repeated safely.
+    With more than ROWS_PER_SALT * MOST_HOT rows the bound is a share of all: never more than MOST_HOT keys can be above it.
     """
-    if small_rows <= limit:
+    if rows is None:
+        rows = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    bound = max(ROWS_PER_SALT, -(-rows // MOST_HOT))
+    if rows <= bound:
+        return []
+    return sorted({r[0] for r in counts.where(F.col("n") > bound).select(F.xxhash64(*on)).toLocalIterator()})
+
+
+def split_join(big: DataFrame, small: DataFrame, on: list[str], how: str, hot: list[int]) -> DataFrame:
+    """Join in two parts: rows of ``big`` with a hot key meet the few rows of ``small`` that have one where they are, the rest are exchanged.
+
+    ``small`` has one row for a key, or a few; so at most MOST_HOT times that many rows are sent to the
+    executors, and nothing is copied for the other keys. ``how`` is inner, left, left_semi or left_anti.
+    """
+    if not hot:
+        return big.join(small, on, how)
+    marks = F.broadcast(big.sparkSession.createDataFrame([(h,) for h in hot], "_hot long"))
+    tag = lambda d, kind: d.withColumn("_hot", F.xxhash64(*on)).join(marks, "_hot", kind).drop("_hot")
+    many, rest = tag(big, "left_semi"), tag(big, "left_anti")
+    return rest.join(small, on, how).unionByName(many.join(F.broadcast(tag(small, "left_semi")), on, how))
+
+
+def sized_join(big: DataFrame, small: DataFrame, on: list[str], how: str, size: Extent | None, counts: DataFrame | None = None, big_rows: int | None = None, limit: int | None = None) -> DataFrame:
+    """Join ``big``, whose keys may be skewed, with ``small``, which has one row for a key or a few.
+
+    Up to ``limit`` bytes, measured before (``size``), the small side is broadcast. Beyond that the keys
+    of ``big`` are counted, if ``counts`` (``on``, n) does not say how often each occurs, and the hot ones
+    are split off. ``big_rows`` saves that where it is known that there are few.
+    """
+    if size is not None and size.bytes <= (BROADCAST_BYTES if limit is None else limit):
         return big.join(F.broadcast(small), on, how)
-    salts = salts_for(big_rows if big_rows is not None else 64 * ROWS_PER_SALT)
-    if salts == 1:
+    if big_rows is not None and big_rows <= ROWS_PER_SALT:
         return big.join(small, on, how)
-    salted = big.withColumn("_salt", (F.rand(7) * salts).cast("int"))
-    repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
+    if counts is None:
+        counts = big.groupBy(*on).agg(F.count("*").alias("n"))
+    return split_join(big, small, on, how, hot_keys(counts, on, big_rows))
 
 
 def salted_prefix(df: DataFrame, group: str, order: str, value: Column, rows: int, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:

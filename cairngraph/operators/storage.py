@@ -11,8 +11,7 @@ from cairngraph.schema import EXTERNAL_PATH, KEY_TYPES, RAW_CALL
 
 
 def _with_target(g: Graph, edges: DataFrame, *columns: str) -> DataFrame:
-    side = g.nodes.select(F.col("id").alias("_t"), *[F.col(c).alias(f"target_{c}") for c in columns])
-    return edges.join(side, edges["target"] == side["_t"], "left")
+    return g.meet(edges, g.nodes.select(F.col("id").alias("target"), *[F.col(c).alias(f"target_{c}") for c in columns]), "target", "left")
 
 
 def unresolved() -> Column:
@@ -82,13 +81,13 @@ def build_excluded_files(g: Graph) -> DataFrame:
 def referenced_targets(g: Graph, production_only: bool = True) -> DataFrame:
     """Distinct targets of edges whose source is a node, by default not of a test."""
     sources = g.nodes.where(~F.col("is_test")) if production_only else g.nodes
-    return g.edges.join(sources.select(F.col("id").alias("source")), "source", "left_semi").select("target").distinct()
+    return g.meet(g.edges.select("source", "target"), sources.select(F.col("id").alias("source")), "source", "left_semi").select("target").distinct()
 
 
 def unknown_calls(g: Graph) -> DataFrame:
     """name, n_calls of nodes of unknown origin that are called."""
     t = g.nodes.where("namespace = 'UNKNOWN'").select(F.col("id").alias("target"), "name")
-    return g.typed("CALLS").join(t, "target").groupBy("name").agg(F.count("*").alias("n_calls"))
+    return g.meet(g.typed("CALLS").select("target"), t, "target").groupBy("name").agg(F.count("*").alias("n_calls"))
 
 
 def unresolved_sites(g: Graph, per_name: int = 3) -> DataFrame:
@@ -125,7 +124,7 @@ def without_files(g: Graph, files: DataFrame) -> tuple[DataFrame, DataFrame]:
     gone = files.select("file_path").distinct()
     nodes = g.nodes.join(gone, "file_path", "left_anti")
     dead = g.nodes.join(gone, "file_path", "left_semi").select(F.col("id").alias("source"))
-    return nodes, g.edges.join(dead, "source", "left_anti").join(gone, "file_path", "left_anti")
+    return nodes, g.meet(g.edges, dead, "source", "left_anti").join(gone, "file_path", "left_anti")
 
 
 def incremental_nodes(old: DataFrame, batch: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairngraph.graph import Graph
-from cairngraph.operators.skew import sized_join
+from cairngraph.operators.skew import BROADCAST_BYTES, extent, sized_join, split_join
 from cairngraph.schema import BEHAVIORAL, ENFORCEMENT, STRUCTURAL
 from cairngraph.workspace import Workspace
 
@@ -27,7 +27,7 @@ def min_depths(links: DataFrame, roots: DataFrame, work: Workspace, limit: int |
     n = front.count()
     while n and (limit is None or depth < limit):
         depth += 1
-        step = sized_join(links.withColumnRenamed("src", "id"), front.select("id", "owner"), ["id"], "inner", n)
+        step = sized_join(links.withColumnRenamed("src", "id"), front.select("id", "owner"), ["id"], "inner", extent(front.select("id", "owner")))
         reached = step.groupBy(F.col("dst").alias("id")).agg(F.min("owner").alias("owner")).join(seen, "id", "left_anti")
         front = work.save(reached.select("id", F.lit(depth).alias("depth"), "owner"))
         n = front.count()
@@ -87,7 +87,9 @@ def walk(g: Graph, roots: list[str], upstream: bool, depth: int, types: list[str
 
     def admit(edges: DataFrame, front: DataFrame, n_front: int, level: int) -> tuple[DataFrame, int]:
         nonlocal omitted, cut_at, seen, n_seen
-        fetched = sized_join(edges, front.where("not leaf").select(F.col("node").alias("at")), ["at"], "inner", n_front)
+        at = front.where("not leaf").select(F.col("node").alias("at"))
+        small = n_front * 1024 <= BROADCAST_BYTES or extent(at).bytes <= BROADCAST_BYTES
+        fetched = work.save(edges.join(F.broadcast(at), "at") if small else split_join(edges, at, ["at"], "inner", g.hot(here)))
         walked.append(fetched)
         new = fetched.select("next").distinct().join(seen.select(F.col("node").alias("next")), "next", "left_anti").join(info, "next", "left")
         if hide_tests:
@@ -125,10 +127,10 @@ def upstream_coverage(g: Graph, reached: DataFrame) -> DataFrame:
     """One row: path_calls into what was reached, and hidden_calls of unknown nodes that share its names."""
     inside = reached.join(g.nodes, "id").where("namespace = 'INTERNAL' and type in ('FUNCTION', 'METHOD', 'CLASS')").select("id", "name")
     calls = g.typed("CALLS").select("source", "target")
-    path = calls.join(inside.select(F.col("id").alias("target")), "target", "left_semi").agg(F.count("*").alias("path_calls"))
+    path = g.meet(calls, inside.select(F.col("id").alias("target")), "target", "left_semi").agg(F.count("*").alias("path_calls"))
     unknown = g.nodes.where("namespace = 'UNKNOWN'").join(inside.select("name").distinct(), "name", "left_semi").select(F.col("id").alias("target"))
     raw = inside.select(F.concat(F.lit("raw_call:"), "name").alias("target")).distinct()
-    hidden = calls.join(unknown.unionByName(raw).distinct(), "target", "left_semi").agg(F.count("*").alias("hidden_calls"))
+    hidden = g.meet(calls, unknown.unionByName(raw).distinct(), "target", "left_semi").agg(F.count("*").alias("hidden_calls"))
     return path.join(hidden)
 
 

@@ -56,15 +56,26 @@ def test_long_chain_and_star(spark, work, monkeypatch):
     check(spark, work, {f"x{i}": f"x{i + 1}" for i in range(40)} | {f"leaf{i}": "x0" for i in range(30)})
 
 
-def test_a_hot_parent_is_salted(spark, work, monkeypatch):
+def test_a_hot_parent_is_split_off(spark, work, monkeypatch):
     from cairngraph.operators import skew
 
     monkeypatch.setattr(skew, "ROWS_PER_SALT", 7)
-    monkeypatch.setattr(hierarchy, "salts_for", lambda n: skew.salts_for(n, 7))
+    monkeypatch.setattr(skew, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(hierarchy, "ROWS_PER_SALT", 7)
     monkeypatch.setattr(hierarchy, "salted_prefix", lambda *a: skew.salted_prefix(*a, rows_per_salt=7))
     check(spark, work, {f"l{i}": "r" for i in range(30)} | {f"m{i}": "l3" for i in range(12)})
 
 
+def test_names_whose_hashes_meet_get_other_numbers(spark, work):
+    links = spark.createDataFrame([("h", "a", "b"), ("h", "c", "b"), ("g", "a", "c")], "hierarchy string, node string, parent string")
+    numbers, names = hierarchy._numbered(links, work)
+    met = names.where("name in ('a', 'b')")
+    numbers, every = hierarchy._renumbered(links, names, work.save(met), work)
+    got = {(r["hierarchy"], r["name"]): r["no"] for r in every.collect()}
+    assert len(set(got.values())) == len(got) == 5
+    assert sorted(map(tuple, numbers.collect())) == sorted([(got["h", "a"], got["h", "b"]), (got["h", "c"], got["h", "b"]), (got["g", "a"], got["g", "c"])])
+
+
 def test_both_hierarchies_and_paths(spark, work):
     e = edges(spark, [edge("1", "pkg", "pkg.a ", "contains"), edge("2", "pkg.a", "pkg.a.f", "DECLARES"), edge("2", "pkg.a", "pkg.a.f", "DECLARES", at=4), edge("3", "Sub", "Base", "Extends"), edge("4", None, "x", "CONTAINS"), edge("5", "a", "b", "CALLS")])
     assert rows(node_hierarchies(e, work).select("hierarchy", "node_id", "root_id", "depth")) == [("containment", "pkg", "pkg", 0), ("containment", "pkg.a", "pkg", 1), ("containment", "pkg.a.f", "pkg", 2), ("inheritance", "Base", "Base", 0), ("inheritance", "Sub", "Base", 1)]

@@ -32,7 +32,7 @@ def test_against_brute_force(spark, work):
     edge_rows += [(*e[:-1], day(30)) for e in edge_rows[:20]]
     want = brute(edge_rows, node_rows)
     assert {r[2] for r in want} == {"missing", "late", "deleted"}
-    for limit in (1000, 0):
+    for limit in (1 << 20, 0):
         got = orphan_references(edges(spark, edge_rows), nodes(spark, node_rows), work, limit)
         assert rows(got.select("edge_id", "side", "reason")) == want
     assert sum(r["n_refs"] for r in orphan_counts(got).collect()) == len(want)

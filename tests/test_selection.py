@@ -1,11 +1,15 @@
 import math
 import random
+import struct
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from cairngraph.operators.hot_keys import hot_pairs, pair_profile
-from cairngraph.operators.selection import grouped_quantiles
+from cairngraph.operators import skew
+from cairngraph.operators.selection import grouped_quantiles, ordered_bits
+from cairngraph.workspace import Workspace
+from pyspark.sql import functions as F
 from tests.helpers import EDGES, edge, edges, rows
 
 PROBS = {"lo": 0.0, "mid": 0.5, "high": 0.9, "top": 1.0}
@@ -30,9 +34,25 @@ def test_skew_ties_nulls_and_magnitudes(spark, work):
     check(spark, work, data, bins=8)
 
 
-def test_asked_ranks_joined_with_salts(spark, work):
+def test_asked_ranks_with_hot_keys_split_off(spark, work, monkeypatch):
+    monkeypatch.setattr(skew, "ROWS_PER_SALT", 150)
     rng = random.Random(2)
-    check(spark, work, [(rng.choice("aab"), rng.random()) for _ in range(400)], bins=4, broadcast_rows=0)
+    check(spark, work, [(rng.choice(["a", "a", "b", None]), rng.random()) for _ in range(400)], bins=4, broadcast_bytes=0)
+
+
+def test_few_rounds_for_any_magnitudes(spark):
+    values = [10.0**-k for k in range(20, 300)] * 2 + [-(10.0**-k) for k in range(1, 300)]
+    work = Workspace(spark, "rounds")
+    check(spark, work, [("k", v) for v in values])
+    assert work.made <= 2 + 6
+
+
+def test_bit_patterns_are_in_order(spark):
+    rng = random.Random(6)
+    powers = [2.0**k * f for k in range(-1074, 1024, 7) for f in (1, 1 - 2**-53, 1 + 2**-52, -1)]
+    values = [v for v in (struct.unpack("<d", struct.pack("<Q", rng.getrandbits(64)))[0] for _ in range(2000)) if v == v] + powers + [0.0, -0.0, math.inf, -math.inf, 5e-324, 1.7976931348623157e308]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", ordered_bits(F.col("v"))).collect()
+    assert all(b == struct.unpack("<q", struct.pack("<d", abs(v)))[0] * (-1 if v < 0 else 1) for v, b in got)
 
 
 def test_empty(spark, work):

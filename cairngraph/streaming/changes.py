@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import timezone
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -16,24 +14,17 @@ FILES_STATE = "state_id long, file_path string, hash string, scanned_at timestam
 def follow(spark: SparkSession, folder: str, store: ChangeStore, checkpoint: str) -> StreamingQuery:
     """Each micro-batch of Parquet files below ``folder`` becomes one commit of ``store``.
 
-    A batch that is given again after a failure is known by the id its commit carries: batch n makes
-    commit n + 1, and a commit that exists is not made twice.
+    Every commit carries the last batch of each stream, known by its checkpoint. A batch that is given
+    again after a failure is not committed twice, whatever other commits the store has.
     """
     stream = spark.readStream.schema(FILES_STATE).parquet(folder)
 
     def commit(batch: DataFrame, number: int) -> None:
-        if store.last().number > number:
-            return
-        log = file_log(batch)
-        limit = log.agg(F.max("arrived_at")).first()[0]
         last = store.last()
-        if limit is None:
-            limit = last.watermark
-        if limit is None:
+        if last.batches.get(checkpoint, -1) >= number:
             return
-        limit = limit.replace(tzinfo=limit.tzinfo or timezone.utc)
-        # The batch itself is the bound here: what arrived late in an earlier file is in no other batch.
-        store.run(log, F.lit(limit), limit if last.watermark is None or limit > last.watermark else last.watermark, whole=True)
+        # The batch itself is the bound here; the watermark is that of runs over a log.
+        store.apply(file_log(batch), last, last.watermark, {checkpoint: number})
 
     return stream.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -1,9 +1,10 @@
+import threading
 import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
-from cairngraph.operators.incremental import ChangeStore, changed_counts, changed_files, file_log
+from cairngraph.operators.incremental import ChangeLog, ChangeStore, changed_counts, changed_files, file_log
 from cairngraph.workspace import listing, shared_folder
 from tests.helpers import day, rows
 
@@ -46,7 +47,7 @@ def test_a_run_that_fails_changes_nothing(spark):
     assert store.run(rows_, F.col("arrived_at"), day(1)) == 1
     with pytest.raises(OSError):
         store.run(rows_, F.col("arrived_at"), day(6), before_commit=fail)
-    assert [x for x in listing(spark, store.folder) if x.startswith("commit")] == ["commit-00000001"]
+    assert listing(spark, f"{store.folder}/commit") == ["0000000001.json"]
     assert store.run(rows_, F.col("arrived_at"), day(6)) == 2
     assert rows(store.output(2)) == [("d",)]  # c is as it was at the run before
     assert store.last().watermark == day(6)
@@ -62,3 +63,42 @@ def test_two_runs_cannot_both_commit(spark):
     with pytest.raises(RuntimeError):
         store.run(rows_, F.col("arrived_at"), day(1), before_commit=lambda: store.run(rows_, F.col("arrived_at"), day(1)))
     assert store.last().number == 1
+
+
+def test_two_threads_one_wins(spark):
+    store = ChangeStore(spark, f"{shared_folder(spark)}/t-{uuid.uuid4().hex}")
+    rows_, meet, said = file_log(log(spark, DATA)), threading.Barrier(2), []
+
+    def go():
+        try:
+            said.append(store.run(rows_, F.col("arrived_at"), day(9), before_commit=meet.wait))
+        except RuntimeError:
+            said.append("lost")
+
+    both = [threading.Thread(target=go) for _ in range(2)]
+    [t.start() for t in both]
+    [t.join() for t in both]
+    assert sorted(said, key=str) == [1, "lost"]
+    assert rows(store.output(1)) == [("A/b",), ("a/b",), ("c",), ("d",), ("f",)]
+    before = len(listing(spark, store.folder))
+    store.sweep()
+    assert len(listing(spark, store.folder)) <= before and store.output(1).count() == 5
+
+
+def test_a_log_commit_is_read_once_whenever_it_is_written(spark):
+    folder = f"{shared_folder(spark)}/t-{uuid.uuid4().hex}"
+    source, store = ChangeLog(spark, f"{folder}/log"), ChangeStore(spark, f"{folder}/store", compact_every=2, bucket_keys=2)
+    put = lambda *data: source.append(file_log(log(spark, data)))
+    assert source.last() == 0
+    put((1, "a", "1", 1, 1), (2, "b", "1", 1, 1), (3, "x", "1", 1, 1), (4, "y", "1", 1, 1), (5, "z", "1", 1, 1))
+    assert store.run(source, None, source.last()) == 1
+    put((6, "c", "1", 1, 1))  # of the very moment of the run before
+    assert store.run(source, None, source.last()) == 2 and rows(store.output(2)) == [("c",)]
+    put((7, "a", "2", 2, 1))
+    put((8, "a", "1", 3, 1))
+    assert store.run(source, None, 3) == 3 and rows(store.output(3)) == [("a",)]
+    assert store.last().buckets == 3
+    assert store.run(source, None, 4) == 4 and rows(store.output(4)) == [("a",)]
+    assert store.run(source, None, 4) == 5 and store.output(5).count() == 0
+    put()
+    assert store.run(source, None, source.last()) == 6 and store.output(6).count() == 0

@@ -4,7 +4,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from cairngraph.functions.paths import is_generated, is_skipped, is_test, matches_any, module_of
-from cairngraph.operators.incremental import ChangeStore
+from cairngraph.operators.incremental import ChangeStore, file_log
 from cairngraph.operators.uplift import uplift
 from cairngraph.sources.python_source import extract, link, parse, read_tree
 from cairngraph.sources.sinks import graph_json, mermaid, text_tree, write_json
@@ -88,6 +88,20 @@ def test_a_stream_commits_each_batch_once(spark, tmp_path):
     assert rows(store.output(1)) == [("a",), ("b",)] and rows(store.output(2)) == [("a",), ("c",)]
 
 
+def test_a_stream_on_a_store_with_commits_loses_nothing(spark, tmp_path):
+    src, store = str(tmp_path / "in"), ChangeStore(spark, f"file://{tmp_path}/store-{uuid.uuid4().hex}")
+    put = lambda *data: spark.createDataFrame([(i, p, h, day(s), day(a)) for i, p, h, s, a in data], FILES_STATE).coalesce(1).write.mode("append").parquet(src)
+    report = lambda i, p: file_log(spark.createDataFrame([(i, p, "1", day(1), day(1))], FILES_STATE))
+    for i in range(5):
+        store.apply(report(i, f"old{i}"), store.last(), None)
+    for i in range(3):
+        put((10 + i, f"new{i}", "1", 2, 2))
+        follow(spark, src, store, str(tmp_path / "cp")).awaitTermination()
+        store.apply(report(20 + i, f"between{i}"), store.last(), None)
+    assert [rows(store.output(n)) for n in (6, 8, 10)] == [[("new0",)], [("new1",)], [("new2",)]]
+    assert store.last().number == 11
+
+
 def test_windowed_counts(spark, tmp_path):
     spark.createDataFrame([(" calls", day(0)), ("CALLS", day(0)), ("IMPORTS", day(3))], "type string, ingested_at timestamp").write.parquet(str(tmp_path / "e"))
     stream = call_counts(spark.readStream.schema("type string, ingested_at timestamp").parquet(str(tmp_path / "e")))

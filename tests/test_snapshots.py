@@ -1,11 +1,12 @@
 import random
 
 import numpy as np
+import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from cairngraph.operators.snapshots import graph_changes, key_ordinals, pack, snapshot_changes, unpack
+from cairngraph.operators.snapshots import SnapshotStore, graph_changes, key_ordinals, pack, snapshot_changes, unpack
 from tests.helpers import day, rows
 
 SNAP = "snapshot_no int, id string, type string, name string, file_path string, start_line int, end_line int, delivered_at timestamp"
@@ -47,6 +48,21 @@ def test_against_brute_force(spark, work):
     assert {r[0] for r in rows(small)} <= {3, 4, 9}
 
 
+def test_a_store_compares_what_is_new(spark, work):
+    folder, of = f"{work.root}/kept", lambda *r: spark.createDataFrame([(n, i, None, None, p, line, None, day(at)) for n, i, p, line, at in r], SNAP)
+    assert rows(graph_changes(of((1, "a", "f", 1, 1), (1, "b", "f", 2, 1), (2, "a", "f", 1, 2)), work, folder)) == [(2, "b", "removed")]
+    store = SnapshotStore(spark, folder, ["v0", "v1"])
+    first = dict(rows(store.ordinals()))
+    assert rows(graph_changes(of((5, "a", "g", 1, 1), (5, "c", "f", 2, 1)), work, folder)) == [(5, "a", "changed"), (5, "c", "added")]
+    assert rows(graph_changes(of((6, "c", "f", 2, 1), (7, "b", "f", 2, 1)), work, folder)) == [(6, "a", "removed"), (7, "b", "added"), (7, "c", "removed")]
+    then = dict(rows(store.ordinals()))
+    assert {k: then[k] for k in first} == first and sorted(then.values()) == [0, 1, 2]
+    assert rows(graph_changes(of(), work, folder)) == []
+    assert rows(graph_changes(of((8, "b", "f", 2, 1)), work, folder)) == []
+    with pytest.raises(ValueError):
+        graph_changes(of((6, "z", "f", 1, 1)), work, folder)
+
+
 def test_one_snapshot_and_none(spark, work):
     assert graph_changes(spark.createDataFrame([], SNAP), work).count() == 0
     assert graph_changes(spark.createDataFrame([(1, "a", None, None, "p", 1, 1, day(1))], SNAP), work).count() == 0

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from cairngraph.llm.mixing import FEATURES, features, fit, mix
+from cairngraph.llm.mixing import FEATURES, features, fit, held_out, labelled, memberships, mix, settle, train
 
 DOCS = "doc_id long, text string, source string"
 TARGETS = "source string, target_share double, max_repeats int"
@@ -59,3 +59,35 @@ def test_the_classifier_tells_held_out_texts():
     assert model.weights.shape == (FEATURES, 3)
     z = x[200:] @ model.weights + model.shift
     assert (z.argmax(axis=1) == y[200:]).mean() > 0.9
+
+
+def test_posteriors_of_texts_alone_reach_the_shares_where_texts_tell_sources(spark, work, documents):
+    targets = spark.createDataFrame([("note", 0.5, 1), ("code", 0.3, 2), ("talk", 0.2, 3)], TARGETS)
+    assert all(r["n_told"] >= 0.9 * r["n_held_out"] for r in held_out(documents, targets, work).collect())
+    _, shares = mix(documents, targets, work, trust=None)
+    for r in shares.collect():
+        assert abs(r["expected_share"] - r["target_share"]) < 0.02 and abs(r["reached_share"] - r["target_share"]) < 0.02
+
+
+def test_every_document_is_a_soft_member(spark, documents):
+    names = ["note", "code", "talk"]
+    docs = labelled(documents, names)
+    p = [r["p"] for r in memberships(docs, train(docs.where("label is not null"), names)).collect()]
+    assert len(p) == 621 and all(abs(sum(x) - 1) < 1e-6 and min(x) > 0 for x in p)
+
+
+def test_a_name_its_text_denies_is_doubted():
+    x = np.zeros((4, FEATURES), np.float32)
+    x[[0, 1], 0] = x[[2, 3], 1] = 1
+    model = fit(x, np.array([0, 0, 1, 1]), ("a", "b"), np.array([0.5, 0.5]))
+    sure = np.array([[1e-6, 1 - 1e-6]])
+    object.__setattr__(model, "posteriors", lambda texts: sure)
+    assert model.memberships(["x"], np.array([0]), 0.99)[0, 1] > 0.9 and model.memberships(["x"], np.array([1]), 0.99)[0, 1] > 0.99
+    assert (model.memberships(["x"], np.array([0]), None) == sure).all()
+
+
+def test_what_is_owed_is_settled_from_the_pool():
+    pool = [(1, 0, 100, 0, 1), (2, 0, 40, 1, 1), (3, 0, 7, 0, 3), (4, 1, 5, 2, 2)]
+    assert settle(np.array([62.0, -4.0]), pool) == {1: 1, 2: -1, 4: -1}
+    assert settle(np.array([1000.0, 0.0]), pool) == {1: 1, 3: 3}
+    assert settle(np.array([3.0, 0.0]), []) == {}

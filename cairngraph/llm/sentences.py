@@ -1,7 +1,8 @@
 """Sentence units of texts in many languages, scripts and layouts.
 
-A text is read in two steps. Lines make blocks: headings, list items, paragraphs, fenced blocks.
-Within a block a pushdown automaton runs over the marks that matter: a stack holds the open
+A text is read in two steps. Lines make blocks: headings, list items, paragraphs, fenced blocks; a stack
+holds the levels of the lists that are open, so that a number is an item where it goes on with one of
+them or begins a deeper one. Within a block a pushdown automaton runs over the marks that matter: a stack holds the open
 quotations and brackets, each with the boundaries found inside it. When one closes, its boundaries
 stand if a new sentence follows, and fall if the sentence goes on; what is never closed was none, and
 its boundaries pass to what is around it. Whether a period ends a sentence is told by a trie of
@@ -13,7 +14,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from cairngraph.llm.abbreviations import INNER, lookup
@@ -23,6 +24,7 @@ FULL = "。｡！？．।॥؟۔։።፧။។៕‽⁇⁈⁉"
 WEAK = ".!?…"
 GREEK = ";\u037e"
 PAIRS = {"(": ")", "[": "]", "{": "}", "（": "）", "［": "］", "【": "】", "〔": "〕", "「": "」", "『": "』", "《": "》", "〈": "〉", "〖": "〗", "“": "”", "„": "“”", "‚": "‘’", "‘": "’", "«": "»", "‹": "›", "»": "«", "›": "‹", '"': '"', "'": "'"}
+BREAKS = "\n\r\x0b\x0c\x85\u2028\u2029"
 BRACKETS = "([{（［【〔〖"
 CLOSERS = "".join(dict.fromkeys("".join(PAIRS.values())))
 SPACED_CLOSERS = "»›"
@@ -37,10 +39,16 @@ SMALL_STARTERS = frozenset("a an the this these it we they you der die das ein e
 # Words before a German ordinal.
 BEFORE_ORDINAL = frozenset("am der die das dem den des im vom zum zur beim ab bis dessen jeder jede jedes seinem ihrem einem einen nach vor seit unser unserem unseren dieser diesem jedem".split())
 
+#: Levels of nested lists whose numbers a line can go on with; deeper stacks are only asked for their innermost.
+MOST_LEVELS = 32
+
 _CLASS = lambda s: "[" + re.escape(s) + "]"
 _THAI = "\u0e01-\u0e2e\u0e30-\u0e3a\u0e40-\u0e45\u0e47-\u0e4e"
 _CJK = "\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
-MARK = re.compile(f"`+|{_CLASS(FULL + WEAK)}+|{_CLASS(GREEK)}|{_CLASS(''.join(PAIRS) + CLOSERS)}|\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]|(?<=[{_THAI}\u0e2f\u0e46])[ \t\u00a0]+(?=[{_THAI}])")
+_WORD = "[^\\W_]"
+_QUOTE = "'\u2019"
+# A period before an ASCII letter or digit ends nothing, an apostrophe within a word is no quotation: neither is looked at.
+MARK = re.compile(f"`+|(?:{_CLASS((FULL + WEAK).replace('.', ''))}|[.](?![0-9A-Za-z]))+|{_CLASS(GREEK)}|{_CLASS(''.join(c for c in ''.join(PAIRS) + CLOSERS if c not in _QUOTE))}|[{_QUOTE}](?!{_WORD})|(?<!{_WORD})[{_QUOTE}]|\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]|(?<=[{_THAI}\u0e2f\u0e46])[ \t\u00a0]+(?=[{_THAI}])")
 LINE = re.compile("\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]")
 FENCE = re.compile(r"[ ]{0,3}(`{3,}|~{3,})([^\n]*)")
 HEADING = re.compile(r"[ ]{0,3}#{1,6}(?=\s|$)")
@@ -52,7 +60,40 @@ HANGUL = re.compile("[\uac00-\ud7af\u1100-\u11ff]")
 PLAIN_WORD = re.compile(r"(?<![\w./(-])[^\W\d_A-Z][^\W\d_A-Z]+(?=[\s,.;:!?)]|$)")
 GREEK_LETTER = re.compile("[\u0370-\u0373\u0376-\u037d\u0386\u0388-\u03ff\u1f00-\u1fff]")
 _LETTER = "(?:[^\\W_]|[\u0300-\u036f\u0610-\u061a\u064b-\u065f\u0900-\u0963\u0971-\u0dff\u0e31-\u0e4e])"
-WORD_BEFORE = re.compile(rf"{_LETTER}+(?:[.\u2019'-]{_LETTER}+)*$")
+#: Read backwards from the period.
+WORD_BEFORE = re.compile(rf"{_LETTER}+(?:[.\u2019'-]{_LETTER}+)*")
+WORD_AFTER = re.compile(r"[^\W\d_]+")
+
+
+class _Levels:
+    """The open list levels, outermost first: where the marks of each stand and the last number, -1 for bullets and letters."""
+
+    __slots__ = ("stack",)
+
+    def __init__(self):
+        self.stack: list[tuple[int, int]] = []
+
+    def enter(self, indent: int, number: int) -> None:
+        """An item begins: deeper levels are over, its own goes on or is new."""
+        while self.stack and self.stack[-1][0] > indent:
+            self.stack.pop()
+        if self.stack and self.stack[-1][0] == indent:
+            self.stack.pop()
+        self.stack.append((indent, number))
+
+    def fits(self, indent: int, number: int) -> bool:
+        """Within an item, can a line that begins with a number be the next one?
+
+        It is where it follows the last number of a level, where a level counts all its items as 1,
+        or where it is the first of a level that stands further in.
+        """
+        if number == 1 and self.stack and indent > self.stack[-1][0]:
+            return True
+        return any(number == last + 1 and last >= 0 or number == last == 1 and indent == at for at, last in reversed(self.stack[-MOST_LEVELS:]))
+
+
+def _indent(line: str, marks: int) -> int:
+    return len(line[:marks].expandtabs(4))
 
 
 def _blocks(text: str) -> Iterator[tuple[int, int, int, str]]:
@@ -63,12 +104,19 @@ def _blocks(text: str) -> Iterator[tuple[int, int, int, str]]:
         at = m.end()
     lines.append((at, len(text)))
     start = words = end = -1
-    in_list, last_number = False, -1
+    in_item, levels = False, _Levels()
     i = 0
     while i < len(lines):
         a, b = lines[i]
         line = text[a:b]
-        fence = FENCE.match(line)
+        mark = line.lstrip()[:1]
+        if not mark:
+            if start >= 0:
+                yield start, end, words, "text"
+            start, in_item = -1, False
+            i += 1
+            continue
+        fence = FENCE.match(line) if mark in "`~" else None
         if fence and "`" not in fence[2]:
             if start >= 0:
                 yield start, end, words, "text"
@@ -79,17 +127,11 @@ def _blocks(text: str) -> Iterator[tuple[int, int, int, str]]:
                 j += 1
             last = min(j, len(lines) - 1)
             yield a, lines[last][1], a, "fence"
-            i, in_list = last + 1, False
+            i, in_item = last + 1, False
             continue
-        if not line.strip():
-            if start >= 0:
-                yield start, end, words, "text"
-            start, in_list = -1, False
-            i += 1
-            continue
-        head = HEADING.match(line)
-        if head or (RULE.match(line) and not ITEM.fullmatch(line)):
-            if head is None and start >= 0 and line.strip()[0] == "=":
+        head = HEADING.match(line) if mark == "#" else None
+        if head or (mark in "-*_=" and RULE.match(line) and not ITEM.fullmatch(line)):
+            if head is None and start >= 0 and mark == "=":
                 yield start, b, words, "text"  # a title and the line under it
             else:
                 if start >= 0:
@@ -97,78 +139,128 @@ def _blocks(text: str) -> Iterator[tuple[int, int, int, str]]:
                 begins = a + (head.end() if head else len(line))
                 numbered = NUMBERING.match(text, begins, b) if head else None
                 yield a, b, numbered.end() if numbered else begins, "text"
-            start, in_list = -1, False
+            start, in_item = -1, False
+            levels.stack.clear()
             i += 1
             continue
         item = ITEM.match(line)
         if item:
-            number = int(item["number"]) if item["number"] else -1
+            number, indent = int(item["number"]) if item["number"] else -1, _indent(line, len(line) - len(line.lstrip()))
             # A number at the start of a wrapped line is an item only where one can be.
-            fits = start < 0 or number < 0 or (number == last_number + 1 if in_list else number == 1)
+            fits = start < 0 or number < 0 or (levels.fits(indent, number) if in_item else number == 1)
             if fits and not (start >= 0 and item.end() == len(line)):
                 if start >= 0:
                     yield start, end, words, "text"
-                start, end, words, in_list, last_number = a, b, a + item.end(), True, number
+                start, end, words, in_item = a, b, a + item.end(), True
+                levels.enter(_level(levels, indent, number), number)
                 i += 1
                 continue
         if start < 0:
             start = words = a
+            if not line[0].isspace():
+                levels.stack.clear()  # a paragraph at the margin ends all lists
         end = b
         i += 1
     if start >= 0:
         yield start, end, words, "text"
 
 
+def _level(levels: _Levels, indent: int, number: int) -> int:
+    """Where an item's level stands: its own indent, but that of the level it counts on if the marks are not aligned."""
+    if number > 1 and not any(at == indent and last == number - 1 for at, last in levels.stack):
+        return next((at for at, last in reversed(levels.stack) if last == number - 1 and abs(at - indent) <= 1), indent)
+    return indent
+
+
 class _Frame:
-    __slots__ = ("closers", "opener", "at", "cuts")
+    """What is open: the marks that close it, and the boundaries found inside, of which ``last`` is the latest.
+
+    ``below`` is the latest boundary of all that is around it; nothing there moves while this is open.
+    """
 
-    def __init__(self, closers: str, opener: str, at: int):
-        self.closers, self.opener, self.at, self.cuts = closers, opener, at, []
+    __slots__ = ("closers", "opener", "at", "cuts", "last", "below")
+
+    def __init__(self, closers: str, opener: str, at: int, below: int):
+        self.closers, self.opener, self.at, self.cuts, self.last, self.below = closers, opener, at, [], -1, below
+
+    def take(self, other: _Frame) -> None:
+        """The boundaries of another frame are added, the fewer to the more."""
+        if len(other.cuts) > len(self.cuts):
+            self.cuts, other.cuts = other.cuts, self.cuts
+        self.cuts.extend(other.cuts)
+        self.last = max(self.last, other.last)
 
 
 class _Automaton:
-    """One block; ``cuts`` gives the offsets at which its units end."""
+    """One block; ``cuts`` gives the offsets at which its units end. The time taken grows with the text's length alone."""
 
     def __init__(self, text: str, start: int, end: int):
         self.t, self.start, self.end = text, start, end
-        self.stack = [_Frame("", "", start)]
-        body = text[start:end]
-        han = len(HAN.findall(body))
-        self.by_line = han > 0 and not HANGUL.search(body) and han >= 2 * len(PLAIN_WORD.findall(body)) if LINE.search(body) else False
+        self.stack = [_Frame("", "", start, start)]
+        self.closable: dict[str, int] = {}
+        self.opened: dict[str, int] = {}
+        self.greek = self.greek_read = start - 1
+        self.by_line = False
+        if LINE.search(text, start, end):
+            han = len(HAN.findall(text, start, end))
+            self.by_line = han > 0 and not HANGUL.search(text, start, end) and han >= 2 * len(PLAIN_WORD.findall(text[start:end]))
 
     def cuts(self) -> list[int]:
-        t, pos = self.t, self.start
-        while m := MARK.search(t, pos, self.end):
+        t, pos, stack = self.t, self.start, self.stack
+        search, end = MARK.search, self.end
+        while m := search(t, pos, end):
             c, pos = m[0][0], m.end()
-            if c == "`":
-                close = t.find(m[0], pos, self.end)
+            if c in FULL or c in WEAK:
+                pos = self.terminal(m.start(), pos)
+            elif c == "`":
+                close = t.find(m[0], pos, end)
                 pos = close + len(m[0]) if close >= 0 else pos
-            elif c in "\n\r\x0b\x0c\x85\u2028\u2029":
+            elif c in BREAKS:
                 if self.by_line:
                     self.cut(m.start())
-            elif c in FULL or c in WEAK:
-                pos = self.terminal(m.start(), pos)
             elif c in GREEK:
-                if GREEK_LETTER.search(t, self.last_cut(), m.start()):
+                if self.is_greek(m.start()):
                     pos = self.terminal(m.start(), pos)
             elif c in " \t\u00a0":
                 self.cut(m.start())
             else:
-                pos = self.pair(m.start(), False)
-        while len(self.stack) > 1:
+                pos = self.pair(m.start())
+        while len(stack) > 1:
             self.release()
-        return self.stack[0].cuts
+        return stack[0].cuts
 
-    def last_cut(self) -> int:
-        return max((f.cuts[-1] for f in self.stack if f.cuts), default=self.start)
+    def is_greek(self, at: int) -> bool:
+        """Has the sentence before ``at`` a Greek letter? Each letter is looked at once."""
+        if at > self.greek_read:
+            for m in GREEK_LETTER.finditer(self.t, max(self.start, self.greek_read), at):
+                self.greek = m.start()
+            self.greek_read = at
+        top = self.stack[-1]
+        return self.greek >= max(self.start, top.last, top.below)
 
     def cut(self, at: int) -> None:
-        self.stack[-1].cuts.append(at)
+        top = self.stack[-1]
+        top.cuts.append(at)
+        top.last = at
+
+    def push(self, closers: str, opener: str, at: int) -> None:
+        top = self.stack[-1]
+        self.stack.append(_Frame(closers, opener, at, max(top.last, top.below)))
+        self.opened[opener] = self.opened.get(opener, 0) + 1
+        for c in closers:
+            self.closable[c] = self.closable.get(c, 0) + 1
+
+    def pop(self) -> _Frame:
+        top = self.stack.pop()
+        self.opened[top.opener] -= 1
+        for c in top.closers:
+            self.closable[c] -= 1
+        return top
 
     def release(self) -> None:
         """The innermost was never closed: its boundaries are those of what is around it."""
-        top = self.stack.pop()
-        self.stack[-1].cuts.extend(top.cuts)
+        top = self.pop()
+        self.stack[-1].take(top)
 
     def closing(self, at: int) -> int | None:
         """Depth of the frame the mark at ``at`` closes, or None."""
@@ -182,14 +274,16 @@ class _Automaton:
             before = self.t[at - 1] if at > self.start else " "
             if before.isspace() or before in BRACKETS:
                 return None
-        return next((k for k in range(len(self.stack) - 1, 0, -1) if c in self.stack[k].closers), None)
+        if not self.closable.get(c):
+            return None
+        return next(k for k in range(len(self.stack) - 1, 0, -1) if c in self.stack[k].closers)
 
     def close(self, depth: int) -> _Frame:
         while len(self.stack) - 1 > depth:
             self.release()
-        return self.stack.pop()
+        return self.pop()
 
-    def pair(self, at: int, ended: bool) -> int:
+    def pair(self, at: int) -> int:
         """A quotation mark or bracket that follows no terminal."""
         t, c = self.t, self.t[at]
         depth = self.closing(at)
@@ -203,11 +297,9 @@ class _Automaton:
                 if after.isspace() or before.isalnum() or before in WEAK:
                     return at + 1
                 if c in "\"'":
-                    again = next((k for k in range(len(self.stack) - 1, 0, -1) if self.stack[k].opener == c), None)
-                    if again is not None:  # the one before was never closed
-                        while len(self.stack) - 1 >= again:
-                            self.release()
-            self.stack.append(_Frame(PAIRS[c], c, at))
+                    while self.opened.get(c):  # the one before was never closed
+                        self.release()
+            self.push(PAIRS[c], c, at)
         return at + 1
 
     def terminal(self, at: int, pos: int) -> int:
@@ -221,7 +313,7 @@ class _Automaton:
             if c in GAP:  # the space before a French closing quote
                 while gap < end and t[gap] in GAP:
                     gap += 1
-                if not (gap < end and t[gap] in SPACED_CLOSERS and any(t[gap] in f.closers for f in self.stack)):
+                if not (gap < end and t[gap] in SPACED_CLOSERS and self.closable.get(t[gap])):
                     break
                 c = t[gap]
             depth = self.closing(gap)
@@ -240,7 +332,7 @@ class _Automaton:
                 break
         if self.ends(at, pos, marks, closed):
             for f in reversed(closed):
-                self.stack[-1].cuts.extend(f.cuts)
+                self.stack[-1].take(f)
             self.cut(pos)
         return pos
 
@@ -293,11 +385,11 @@ class _Automaton:
 
     def period(self, at: int, k: int, a: int, upper: bool, lower: bool, digit: bool, caseless: bool, quoted: bool) -> bool:
         t = self.t
-        word = WORD_BEFORE.search(t, max(self.start, at - 60), at)
-        w = word[0] if word else ""
-        follow = re.compile(r"[^\W\d_]+").match(t, a)
+        word = WORD_BEFORE.match(t[max(self.start, at - 60) : at][::-1])
+        w = word[0][::-1] if word else ""
+        follow = WORD_AFTER.match(t, a)
         follow = follow[0] if follow else ""
-        inner = INNER.get(t[word.start() : at + 1]) if word and "." not in w else None
+        inner = INNER.get(w + ".") if word and "." not in w else None
         if inner and any(t.startswith(p, k) for p in inner):
             return False
         found = lookup(t, at + 1)
@@ -381,12 +473,12 @@ def sentences(documents: DataFrame, id_column: str = "doc_id", text_column: str
     def run(batches):
         for batch in batches:
             ids, starts, ends = [], [], []
-            for i, text in zip(batch["i"], batch["t"]):
-                for a, b in sentence_units(text):
-                    ids.append(i)
-                    starts.append(a)
-                    ends.append(b)
-            yield pd.DataFrame({"doc_id": pd.Series(ids, dtype="int64"), "start_char": pd.Series(starts, dtype="int32"), "end_char": pd.Series(ends, dtype="int32")})
-
-    rows = documents.selectExpr(f"`{id_column}` as i", f"`{text_column}` as t").where("i is not null and t is not null")
-    return rows.mapInPandas(run, "doc_id long, start_char int, end_char int")
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                units = sentence_units(text)
+                ids += [i] * len(units)
+                starts += [a for a, _ in units]
+                ends += [b for _, b in units]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], ["doc_id", "start_char", "end_char"])
+
+    rows = documents.selectExpr(f"cast(`{id_column}` as long) as i", f"`{text_column}` as t").where("i is not null and t is not null")
+    return rows.mapInArrow(run, "doc_id long, start_char int, end_char int")

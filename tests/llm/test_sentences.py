@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -45,6 +47,28 @@ def test_layout():
     assert units(text) == ["# 1. Scope", "A line that\nwraps.", "Next", "1) fix a", "2) B is.", "C is\n   wrapped", "```py\n# Done. Next.\n```", "* x: y", "* z!", "End: it is; no end"]
 
 
+@pytest.mark.parametrize(
+    "want",
+    [
+        ["1. First item", "   1. Inner one", "   2. Inner two", "2. Second item", "3. Third item"],
+        ["1. First item", "   - sub bullet", "2. Second item"],
+        ["1. alpha", "1. beta", "1. gamma"],
+        ["- a", "  1. b", "     * c", "  2. d\n     goes on", "- e"],
+        ["1. a", "\n   1. b", "\n   2. c", "2. d"],
+        ["9. a", " 10. b", "11. c is for\n3. of d"],
+    ],
+)
+def test_nested_lists(want):
+    assert units("\n".join(want)) == [w.strip() for w in want]
+
+
+@pytest.mark.parametrize("text", ["x=1;" * 400_000, "(a. B" * 100_000, "(" * 300_000 + "]" * 300_000, '"' * 500_000, "«" * 300_000 + ". A" * 300_000, "α;" * 300_000, "1. a\n" * 100_000])
+def test_time_grows_with_length_alone(text):
+    began = time.process_time()
+    assert sentence_units(text)[-1][1] == len(text.rstrip())
+    assert time.process_time() - began < 8
+
+
 def test_a_wrapped_number_begins_no_item():
     assert units("We saw Step\n2. of the list and\n12 more.") == ["We saw Step\n2. of the list and\n12 more."]
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -86,9 +88,12 @@ def health(g: Graph) -> DataFrame:
     return fan_counts(g).join(structural_depth(g), "id").join(owners.select("id", "owner"), "id", "left").withColumn("owner", F.coalesce("owner", "id")).join(cyclic, "owner", "left").select("id", "fan_in", "fan_out", "depth", F.coalesce("in_cycle", F.lit(False)).alias("in_cycle"))
 
 
-def pagerank(g: Graph, iterations: int = 20, damping: float = 0.85) -> DataFrame:
-    """id, rank over calls among internal functions, methods and classes; parallel calls count, dangling mass is spread evenly."""
-    nodes = g.work.save(g.internal("FUNCTION", "METHOD", "CLASS").select("id"))
+def pagerank(g: Graph, iterations: int = 20, damping: float = 0.85, exclude: Sequence[str] = ()) -> DataFrame:
+    """id, rank over calls among internal functions, methods and classes; parallel calls count, dangling mass is spread evenly. Ids with a part in ``exclude`` are out."""
+    kept = g.internal("FUNCTION", "METHOD", "CLASS").select("id")
+    for part in exclude:
+        kept = kept.where(~F.contains(F.concat(F.lit("."), "id", F.lit(".")), F.lit(f".{part}.")))
+    nodes = g.work.save(kept)
     n = nodes.count()
     if not n:
         return nodes.withColumn("rank", F.lit(0.0))

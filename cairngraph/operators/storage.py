@@ -33,6 +33,12 @@ def resolution_by_source(g: Graph, depth: int = 1) -> DataFrame:
     return e.groupBy(F.substring_index("source", ".", depth).alias("package")).agg(F.count("*").alias("total"), F.count(F.when(unresolved(), 1)).alias("unresolved"))
 
 
+def resolution_of(g: Graph, of_source: Column) -> DataFrame:
+    """One row: total, unresolved of the edges whose source passes; dispatch and key edges do not count."""
+    e = g.edges.where(~F.col("type").isin("DISPATCHES", *KEY_TYPES) & of_source)
+    return _with_target(g, e.select("target"), "namespace").agg(F.count("*").alias("total"), F.count(F.when(unresolved(), 1)).alias("unresolved"))
+
+
 def top_unresolved(g: Graph, limit: int = 10) -> DataFrame:
     e = _with_target(g, g.edges.where(~F.col("type").isin(*KEY_TYPES)).select("target"), "namespace")
     counts = e.where("target_namespace is null or target_namespace = 'UNKNOWN'").groupBy("target").agg(F.count("*").alias("n"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -205,3 +207,189 @@ def uncovered(kept: DataFrame, work: Workspace) -> DataFrame:
     hidden = imports.join(kept.where("kind = 'extends'").select("source", "target"), ["source", "target"], "left_semi")
     hidden = hidden.join(a, "source", "left").join(b, "target", "left").where("x is null or y is null or x <> y").select("source", "target", F.lit("imports").alias("kind"))
     return kept.join(hidden, ["source", "target", "kind"], "left_anti")
+
+
+#: A module graph of at most this many links is reduced in one task.
+ONE_TASK_REDUCTION = 100_000
+
+
+def _reduced_here(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links (src, dst) of an acyclic graph that a longer way implies, by bit sets of what each id reaches, ends first."""
+    after: dict[str, list[str]] = {}
+    for a, b in zip(pdf["src"], pdf["dst"]):
+        after.setdefault(a, []).append(b)
+    place, reach = {}, {}
+    for root in after:
+        trail = [(root, iter(after[root]))]
+        while trail:
+            x, rest = trail[-1]
+            y = next((y for y in rest if y not in reach), None)
+            if y is not None:
+                trail.append((y, iter(after.get(y, ()))))
+                continue
+            trail.pop()
+            if x not in reach:
+                place[x] = len(place)
+                reach[x] = 1 << place[x]
+                for z in after.get(x, ()):
+                    reach[x] |= reach[z]
+    gone = []
+    for a, near in after.items():
+        for b in near:
+            if any(c != b and reach[c] >> place[b] & 1 for c in near):
+                gone.append((a, b))
+    return pd.DataFrame(gone, columns=["src", "dst"])
+
+
+def implied_links(dag: DataFrame, work: Workspace, one_task: int = ONE_TASK_REDUCTION) -> DataFrame:
+    """src, dst: the links of an acyclic graph (src, dst, distinct) whose end is reached through a third id as well.
+
+    A small graph takes one task. In a larger one each id gets its level, the longest way to an end. A link
+    between neighbouring levels is not implied, and a way to a link's end can only pass levels
+    between both: from the ends of the links that skip levels the search goes up, and not above them. What it holds are
+    ids that lie between a skipping link's levels, not all pairs that are joined by a way.
+    """
+    if dag.count() <= one_task:
+        kind = dict(dag.dtypes)["src"]
+        return dag.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(_reduced_here, f"src {kind}, dst {kind}")
+    front, n = work.save(dag.select(F.col("src").alias("id")).distinct()), 0
+    levels = [dag.select(F.col("dst").alias("id")).distinct().withColumn("level", F.lit(0))]
+    while front.take(1):
+        n += 1
+        levels.append(front.withColumn("level", F.lit(n)))
+        front = work.save(dag.join(front.withColumnRenamed("id", "dst"), "dst", "left_semi").select(F.col("src").alias("id")).distinct())
+    every = levels[0]
+    for x in levels[1:]:
+        every = every.unionByName(x)
+    level = work.save(every.groupBy("id").agg(F.max("level").alias("level")))
+    at = lambda c, name: level.select(F.col("id").alias(c), F.col("level").alias(name))
+    e = work.save(dag.join(at("src", "ls"), "src").join(at("dst", "ld"), "dst"))
+    skips = work.save(e.where("ls > ld + 1"))
+    top = work.save(skips.groupBy("dst").agg(F.max("ls").alias("top")).withColumnRenamed("dst", "end"))
+    up = e.select(F.col("src").alias("above"), F.col("dst").alias("id"), F.col("ls").alias("level"))
+    seen = front = work.save(top.join(up.withColumnRenamed("id", "end"), "end").where("level < top").select("end", F.col("above").alias("id"), "top"))
+    while front.take(1):
+        step = front.join(up, "id").where("level < top").select("end", F.col("above").alias("id"), "top").distinct()
+        front = work.save(step.join(seen.select("end", "id"), ["end", "id"], "left_anti"))
+        seen = seen.unionByName(front)
+    via = e.select("src", F.col("dst").alias("id")).join(seen.select("end", "id"), "id").select("src", F.col("end").alias("dst"))
+    return skips.select("src", "dst").join(via, ["src", "dst"], "left_semi")
+
+
+def reduced_layers(edges: DataFrame, work: Workspace, one_task: int = ONE_TASK_REDUCTION) -> DataFrame:
+    """source, target, kind of module edges after each kind is reduced by itself: links that a longer way of the kind implies are out.
+
+    Components of two and more are one node of the acyclic rest; links within one stay, and those between
+    two go or stay together.
+    """
+    out = None
+    for kind in LAYERS:
+        mine = work.save(edges.where(F.col("kind") == kind).select("source", "target").distinct())
+        comp = work.save(strong_components(mine.select(F.col("source").alias("src"), F.col("target").alias("dst")), work).select("id", "component"))
+        side = lambda c, n: comp.select(F.col("id").alias(c), F.col("component").alias(n))  # noqa: E731,B023
+        e = work.save(mine.join(side("source", "cs"), "source", "left").join(side("target", "ct"), "target", "left").select("source", "target", F.coalesce("cs", "source").alias("cs"), F.coalesce("ct", "target").alias("ct")))
+        dag = work.save(e.where("cs <> ct").select(F.col("cs").alias("src"), F.col("ct").alias("dst")).distinct())
+        gone = implied_links(dag, work, one_task).select(F.col("src").alias("cs"), F.col("dst").alias("ct"))
+        kept = e.join(gone, ["cs", "ct"], "left_anti").select("source", "target", F.lit(kind).alias("kind"))
+        out = kept if out is None else out.unionByName(kept)
+    return work.save(out)
+
+
+@dataclass(frozen=True)
+class ModuleGraph:
+    """edges (source, target, kind), what the reduction dropped and inheritance covered (kind, dropped, covered), and
+    outside (source, package): what members need of other packages."""
+
+    edges: DataFrame
+    counts: DataFrame
+    outside: DataFrame
+
+
+def module_graph(g: Graph, prefix: str, layers: tuple[str, ...] = ("imports", "extends"), reduce: bool = True, exclude_tests: bool = True, expand: bool = False) -> ModuleGraph:
+    """The dependencies between the direct children of a package, or with ``expand`` between its modules.
+
+    An edge of the code becomes one between the files that hold its ends; type-only ones are out, as are
+    tests and the package's own file. Each layer is reduced by itself; then an import goes for which a kept inheritance of the same pair
+    stands, unless it lies on a cycle of imports. With ``expand`` an import of a package through which only names of its modules
+    are taken is not drawn.
+    """
+    if not layers or set(layers) - set(LAYERS):
+        raise ValueError(f"layers are some of {list(LAYERS)}")
+    work = g.work
+    files = g.internal("FILE", "MODULE")
+    by_path = work.save(files.groupBy("file_path").agg(F.max(F.struct((F.col("type") == "FILE").alias("f"), "id", "is_test")).alias("h")).select("file_path", F.col("h.id").alias("holder"), F.col("h.is_test").alias("test")))
+    held = g.nodes.join(by_path, "file_path").select("id", "holder", "test")
+    held = work.save(held.where(F.lit(not exclude_tests) | ~F.col("test")))
+    kind = F.create_map(*[x for k in layers for t in LAYERS[k] for x in (F.lit(t), F.lit(k))])
+    s, t = held.select(F.col("id").alias("source"), F.col("holder").alias("a")), held.select(F.col("id").alias("target"), F.col("holder").alias("b"))
+    wanted = g.edges.where("not type_only").select("source", "target", "type", kind[F.col("type")].alias("kind")).where("kind is not null").distinct()
+    # Sources first: few lie in the package, and only theirs meet the targets.
+    inside = s.where(F.col("a").startswith(prefix + "."))
+    ends = work.save(g.meet(g.meet(wanted, inside, "source"), t, "target").select("a", "b", "type", "kind").distinct())
+    if expand:
+        named = ends.where("type = 'IMPORTS_SYMBOL'").select("a", F.col("b").alias("through"))
+        heads = F.transform(F.sequence(F.lit(1), F.size(F.split("through", "[.]")) - 1), lambda k: F.array_join(F.slice(F.split("through", "[.]"), 1, k), "."))
+        passed = named.where(F.contains("through", F.lit("."))).select("a", F.explode(heads).alias("b"), F.lit("IMPORTS").alias("type")).distinct()
+        ends = ends.join(passed, ["a", "b", "type"], "left_anti")
+    packages = by_path.select(F.regexp_replace("holder", r"\.[^.]*$", "").alias("b")).where("b <> ''").join(by_path.select(F.col("holder").alias("b")), "b", "left_semi").distinct()
+    out = ends.where(~under("b", prefix)).join(packages.withColumn("own", F.lit(True)), "b", "left")
+    group = lambda c: F.col(c) if expand else direct_child(F.col(c), prefix)
+    package = F.when(F.col("own") | ~F.contains("b", F.lit(".")), F.col("b")).otherwise(F.regexp_replace("b", r"\.[^.]*$", ""))
+    outside = out.select(group("a").alias("source"), package.alias("package")).distinct()
+    found = work.save(ends.where(F.col("b").startswith(prefix + ".")).select(group("a").alias("source"), group("b").alias("target"), "kind").where("source <> target").distinct())
+    kept = reduced_layers(found, work) if reduce else found
+    shown = work.save(uncovered(kept, work))
+    n = lambda d, name: d.groupBy("kind").agg(F.count("*").alias(name))
+    all_ = g.work.spark.createDataFrame([(k,) for k in layers], "kind string").join(n(found, "f"), "kind", "left").join(n(kept, "k"), "kind", "left").join(n(shown, "s"), "kind", "left").na.fill(0)
+    return ModuleGraph(shown, all_.select("kind", (F.col("f") - F.col("k")).alias("dropped"), (F.col("k") - F.col("s")).alias("covered")), outside)
+
+
+@dataclass(frozen=True)
+class Suggestion:
+    """How a package falls into communities: one row of figures, members (id, community), bridges (source, target, weight)."""
+
+    verdict: DataFrame
+    members: DataFrame
+    bridges: DataFrame
+
+
+def suggest_packages(g: Graph, prefix: str, with_calls: bool = False, min_q: float = 0.35, all_descendants: bool = False) -> Suggestion:
+    """Should the direct children of a package, or with ``all_descendants`` all its files, be grouped anew.
+
+    verdict: n_files, n_edges, modularity, divergence, direction, connected, verdict, note. A package without files, of a
+    single member, or none of whose members are linked gives no_signal and says why. A split or
+    borderline package of which under half the members are linked is left. Bridges are the links between communities, heaviest first.
+    """
+    work, spark = g.work, g.work.spark
+    rows = "n_files int, n_edges int, modularity double, divergence double, direction string, connected double, verdict string, note string"
+    none = lambda n, note: Suggestion(spark.createDataFrame([(n, 0, 0.0, 0.0, "matched", 0.0, "no_signal", note)], rows), spark.createDataFrame([], "id string, community string"), spark.createDataFrame([], "source string, target string, weight double"))
+    prefix = (prefix or "").strip()
+    if not prefix:
+        return none(0, "no prefix")
+    files = work.save(g.nodes.where("type in ('FILE', 'MODULE')").where(under("id", prefix)).select("id"))
+    n_files = files.count()
+    if n_files < 2:
+        return none(n_files, "no files" if not n_files else "a single module")
+    graph = work.save(file_graph(g, prefix, with_calls))
+    linked_files = bool(graph.take(1))
+    ids = files
+    if not all_descendants:
+        graph = work.save(children_graph(graph, prefix))
+        ids = work.save(files.select(direct_child(F.col("id"), prefix).alias("id")).distinct())
+    n = ids.count()
+    if n < 2:
+        return none(n, "a single child")
+    if not graph.take(1):
+        tried = g.typed("IMPORTS").where(under("source", prefix)).take(1)
+        return none(n, "links stay inside sub-packages" if linked_files else "no import resolves inside" if tried else "no imports inside")
+    found = work.save(communities(graph.withColumn("package", F.lit(prefix)), ids.withColumn("package", F.lit(prefix))))
+    child = direct_child(F.col("id"), prefix)
+    dirs = ids.where(child != F.col("id")).select(child.alias("directory")).distinct()
+    grouped = found.withColumn("directory", child).join(F.broadcast(dirs.withColumn("own", F.lit(True))), "directory", "left").withColumn("directory", F.when(F.col("own"), F.col("directory")).otherwise("<root>")).drop("own")
+    verdict = layout_verdicts(grouped, graph.withColumn("package", F.lit(prefix)), split=min_q)
+    counts = graph.where("a < b").agg(F.count("*").cast("int").alias("n_edges"))
+    sparse = F.when((F.col("verdict") == "leave") & (F.col("connected") < 0.5) & (F.col("modularity") >= 0.25) & (F.col("divergence") >= 0.2), F.lit("mostly unlinked members"))
+    line = verdict.join(counts).select(F.lit(n).alias("n_files"), "n_edges", "modularity", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("divergence"))).alias("divergence"), "direction", "connected", "verdict", sparse.alias("note"))
+    of = lambda c, name: found.select(F.col("id").alias(c), F.col("community").alias(name))
+    bridges = graph.where("a < b").join(of("a", "ca"), "a").join(of("b", "cb"), "b").where("ca <> cb").select(F.col("a").alias("source"), F.col("b").alias("target"), "weight")
+    return Suggestion(line, found.select("id", "community"), bridges.orderBy(F.desc("weight"), "source", "target"))

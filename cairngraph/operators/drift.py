@@ -65,9 +65,15 @@ def constraint_drift(rows: DataFrame, bounds: dict[str, tuple[str, float]], weig
     return rows.withColumn("drift", F.when(total > 0, sum(top[1:], top[0]) / total).otherwise(0.0))
 
 
+def relaxed_bounds(bounds: dict[str, tuple[str, float]], baseline: dict[str, float]) -> dict[str, tuple[str, float]]:
+    """Limits relaxed by what is acknowledged: the looser of both, and for exact ones what is acknowledged."""
+    looser = {"max": max, "min": min, "exact": lambda _, known: known}
+    return {n: (op, looser[op](b, baseline[n]) if n in baseline else b) for n, (op, b) in bounds.items()}
+
+
 def hygiene_gate(rows: DataFrame, bounds: dict[str, tuple[str, float]] = HYGIENE, baseline: dict[str, float] | None = None) -> DataFrame:
     """Adds breaches (names of the limits a row breaks) and failed; a baseline can relax a limit, never tighten it."""
-    relaxed = {n: (op, max(b, (baseline or {}).get(n, b)) if op == "max" else min(b, (baseline or {}).get(n, b))) for n, (op, b) in bounds.items()}
+    relaxed = relaxed_bounds(bounds, baseline or {})
     names = F.filter(F.array(*[F.when(breach(F.col(n), *b), F.lit(n)) for n, b in relaxed.items()]), lambda x: x.isNotNull())
     return rows.withColumn("breaches", F.array_join(names, ",")).withColumn("failed", F.col("breaches") != "")
 

@@ -11,6 +11,7 @@ from cairngraph.graph import Graph
 from cairngraph.operators.components import strong_components
 from cairngraph.operators.skew import split_join
 from cairngraph.operators.storage import unresolved
+from cairngraph.workspace import Workspace
 
 # The thirteen connected triads.
 TRIADS = "021D 021U 021C 111D 111U 030T 030C 201 120D 120U 120C 210 300".split()
@@ -180,31 +181,34 @@ def longest_ways(links: DataFrame, g: Graph) -> DataFrame:
     return found.groupBy("domain", "src").agg(F.max("length").alias("length"))
 
 
-def root_depths(links: DataFrame, g: Graph) -> DataFrame:
+def root_depths(links: DataFrame, work: Workspace) -> DataFrame:
     """domain, src, length: the longest way from each root (a source that no link, its own included, leads to).
 
     Each cycle is one node, so a way goes in at one of its members and on from another. A round takes
     one link more, from the ends backwards, and holds a node once whatever ways lead on from it.
     """
-    links = g.work.save(links.select("domain", "src", "dst").distinct())
-    comp = strong_components(links.select("src", "dst"), g.work)
-    a, b = comp.select(F.col("id").alias("src"), F.col("component").alias("x")), comp.select(F.col("id").alias("dst"), F.col("component").alias("y"))
-    dag = links.join(a, "src", "left").join(b, "dst", "left").select("domain", F.coalesce("x", "src").alias("x"), F.coalesce("y", "dst").alias("y"))
-    dag = g.work.save(dag.where("x <> y").distinct())
+    links = work.save(links.select("domain", "src", "dst").distinct())
+    # Domains may lie within each other, so an id is told apart by its domain.
+    tag = lambda c: F.concat("domain", F.lit("\x1f"), c)
+    comp = strong_components(links.select(tag("src").alias("src"), tag("dst").alias("dst")), work)
+    comp = comp.select(F.substring_index("id", "\x1f", 1).alias("domain"), F.substring_index("id", "\x1f", -1).alias("id"), F.substring_index("component", "\x1f", -1).alias("component"))
+    a, b = comp.select("domain", F.col("id").alias("src"), F.col("component").alias("x")), comp.select("domain", F.col("id").alias("dst"), F.col("component").alias("y"))
+    dag = links.join(a, ["domain", "src"], "left").join(b, ["domain", "dst"], "left").select("domain", F.coalesce("x", "src").alias("x"), F.coalesce("y", "dst").alias("y"))
+    dag = work.save(dag.where("x <> y").distinct())
     roots = links.select("domain", "src").distinct().join(links.select("domain", F.col("dst").alias("src")).distinct(), ["domain", "src"], "left_anti")
-    front, n = g.work.save(dag.select("domain", "x").distinct()), 1
+    front, n = work.save(dag.select("domain", "x").distinct()), 1
     found = front.withColumn("length", F.lit(n))
     while front.take(1):
         n += 1
-        front = g.work.save(dag.join(front.withColumnRenamed("x", "y"), ["domain", "y"], "left_semi").select("domain", "x").distinct())
+        front = work.save(dag.join(front.withColumnRenamed("x", "y"), ["domain", "y"], "left_semi").select("domain", "x").distinct())
         found = found.unionByName(front.withColumn("length", F.lit(n)))
     return roots.join(found.withColumnRenamed("x", "src"), ["domain", "src"]).groupBy("domain", "src").agg(F.max("length").alias("length"))
 
 
 def fingerprint(g: Graph, depth: int = 1) -> DataFrame:
     """The counters of each top package with chain_len, the mean of its roots' longest ways along calls, and dag_depth, the longest along imports; 0 without roots."""
-    chains = root_depths(domain_links(g, "CALLS", depth), g).groupBy("domain").agg(F.avg("length").alias("chain_len"))
-    depths = root_depths(domain_links(g, "IMPORTS", depth), g).groupBy("domain").agg(F.max("length").alias("dag_depth"))
+    chains = root_depths(domain_links(g, "CALLS", depth), g.work).groupBy("domain").agg(F.avg("length").alias("chain_len"))
+    depths = root_depths(domain_links(g, "IMPORTS", depth), g.work).groupBy("domain").agg(F.max("length").alias("dag_depth"))
     return fingerprint_counters(g, depth).join(chains, "domain", "left").join(depths, "domain", "left").na.fill(0, ["chain_len", "dag_depth"])
 
 

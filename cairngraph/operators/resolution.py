@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from cairngraph.graph import Graph
 from cairngraph.operators.skew import hot_keys, split_join
 from cairngraph.operators.structure import suffixes
 from cairngraph.operators.traversal import min_depths
+from cairngraph.workspace import Workspace
 
 
 def symbol_suffixes(g: Graph) -> DataFrame:
@@ -91,32 +94,62 @@ def ancestors(g: Graph, root: str) -> DataFrame:
     return min_depths(links, g.work.spark.createDataFrame([(root,)], "id string"), g.work).where("depth > 0")
 
 
-def _c3(cls: str, bases: dict[str, list[str]], seen: tuple[str, ...] = ()) -> list[str]:
-    """The order in which a class's methods are looked up; a cycle or a contradiction ends it early."""
-    if cls in seen:
-        return []
-    rows = [r for r in ([*(_c3(b, bases, (*seen, cls)) for b in bases.get(cls, [])), list(bases.get(cls, []))]) if r]
-    out = [cls]
-    while rows:
-        head = next((r[0] for r in rows if not any(r[0] in other[1:] for other in rows)), None)
+def _merged(rows: list[list[str]]) -> list[str] | None:
+    """C3's merge: again and again the first head that stands in no other row's rest; None where there is none.
+
+    How often a name stands in a rest is counted, so a long line costs its length.
+    """
+    rows = [list(r) for r in rows if r]
+    at = [0] * len(rows)
+    rests = Counter(x for r in rows for x in r[1:])
+    out: list[str] = []
+    while True:
+        open_ = [i for i, r in enumerate(rows) if at[i] < len(r)]
+        if not open_:
+            return out
+        head = next((rows[i][at[i]] for i in open_ if not rests[rows[i][at[i]]]), None)
         if head is None:
-            break
+            return None
         out.append(head)
-        rows = [r for r in ([x for x in row if x != head] for row in rows) if r]
-    return out
+        for i in open_:
+            if rows[i][at[i]] == head:
+                at[i] += 1
+                if at[i] < len(rows[i]):
+                    rests[rows[i][at[i]]] -= 1
 
 
-def method_order(bases: DataFrame) -> DataFrame:
-    """group, class, nth, member: C3 order of every class from (group, class, base, position); a group is one hierarchy."""
+def method_order(bases: DataFrame, work: Workspace) -> DataFrame:
+    """class, nth, member: the C3 order of every class that has one, from (class, base, position).
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        table: dict[str, list[str]] = {}
-        for c, b in pdf.sort_values(["class", "position", "base"])[["class", "base"]].itertuples(index=False):
-            table.setdefault(c, []).append(b)
-        rows = [(pdf["group"].iloc[0], c, k, m) for c in sorted(table) for k, m in enumerate(_c3(c, table))]
-        return pd.DataFrame(rows, columns=["group", "class", "nth", "member"])
-
-    return bases.groupBy("group").applyInPandas(run, "group string, class string, nth int, member string")
+    Bases stand in order of position. A class whose bases contradict each other, or that lies on or above
+    a cycle, has no order and no rows; nor has one that extends such a class. Each round merges the orders of all classes whose bases have
+    theirs: as many rounds as the deepest line has classes, and no task holds a hierarchy.
+    """
+    rows = bases.where("class is not null and base is not null").groupBy("class", "base").agg(F.min("position").alias("position"))
+    links = work.save(rows)
+    declared = work.save(links.groupBy("class").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "base"))), lambda x: x.base).alias("bases")))
+    tops = links.select(F.col("base").alias("class")).distinct().join(declared.select("class"), "class", "left_anti")
+
+    @F.pandas_udf("array<string>")
+    def merge(cls: pd.Series, orders: pd.Series, own: pd.Series) -> pd.Series:
+        found = []
+        for c, above, named in zip(cls, orders, own):
+            line = {o[0]: list(o) for o in (list(x) for x in above)}
+            merged = _merged([*(line[b] for b in named), list(named)])
+            found.append(None if merged is None else [c, *merged])
+        return pd.Series(found, index=cls.index)
+
+    done = work.save(tops.select("class", F.array("class").alias("line")))
+    every, front = done, done
+    waiting = work.save(declared.withColumn("n", F.size("bases")))
+    while front.take(1):
+        # Only what a new order could complete is looked at.
+        asked = links.join(front.select(F.col("class").alias("base")), "base", "left_semi").select("class").distinct()
+        ready = links.join(asked, "class", "left_semi").join(every.select(F.col("class").alias("base"), "line"), "base")
+        ready = ready.groupBy("class").agg(F.collect_list("line").alias("lines")).join(waiting, "class").where(F.size("lines") == F.col("n"))
+        front = work.save(ready.select("class", merge("class", "lines", "bases").alias("line")).where("line is not null"))
+        every = every.unionByName(front)
+    return every.select("class", F.posexplode("line").alias("nth", "member")).join(declared.select("class"), "class", "left_semi")
 
 
 def reexports(forwards: DataFrame, work) -> DataFrame:

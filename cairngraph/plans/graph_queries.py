@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairngraph.functions import paths
 from cairngraph.functions.text import sql_path, sql_trim
 from cairngraph.graph import Graph
 from cairngraph.operators import drift, evaluation, keys, metrics, motifs, resolution, storage, structure, traversal, uplift
-from cairngraph.operators.components import connected_components
 from cairngraph.operators.incremental import file_log
 from cairngraph.schema import BEHAVIORAL, ENFORCEMENT, NODE_COLUMNS
 from cairngraph.sources import sinks
@@ -578,12 +577,12 @@ def _depth_sql(kind: str, p: str) -> str:
 
 @query(f"{_depth_sql('CALLS', 'c')} select domain, src, length from clong", recursive=True)
 def call_chain_lengths(g):
-    return motifs.root_depths(motifs.domain_links(g, "CALLS"), g)
+    return motifs.root_depths(motifs.domain_links(g, "CALLS"), g.work)
 
 
 @query(f"{_depth_sql('IMPORTS', 'i')} select domain, src, length from ilong", recursive=True)
 def import_depths(g):
-    return motifs.root_depths(motifs.domain_links(g, "IMPORTS"), g)
+    return motifs.root_depths(motifs.domain_links(g, "IMPORTS"), g.work)
 
 
 @query(f"""{_COUNTERS}, {_depth_sql('CALLS', 'p')}, {_depth_sql('IMPORTS', 'q')}
@@ -806,12 +805,25 @@ def interface_dispatch(g):
     return resolution.interface_dispatch(got.where("ab").select(F.col("source").alias("interface"), "method", "arity"), got.where("not ab").select(F.col("source").alias("type"), "method", "arity"))
 
 
+@query("""x as (select distinct source as c, target as b from e where type = 'EXTENDS' and source <> target), many as (select c from x group by 1 having count(*) > 1),
+  up as (select c, b, 1 as k from x union select up.c, x.b, k + 1 from up join x on x.c = up.b where k < 60), bad as (select distinct c from up where c in (select c from many) or b in (select c from many) or b = c or k >= 60)
+  select c as class, cast(0 as int) as nth, c as member from x where c not in (from bad) union all select c, cast(k as int), b from up where c not in (from bad)""", recursive=True)
+def single_method_order(g):
+    """The order of classes without two bases anywhere above, where it is the line of bases."""
+    order = method_order(g)
+    x = g.typed("EXTENDS").select(F.col("source").alias("class"), F.col("target").alias("base")).where("class <> base").distinct()
+    many = g.work.save(x.groupBy("class").count().where("count > 1").select("class"))
+    touched = order.join(many.select(F.col("class").alias("member")), "member", "left_semi").select("class").distinct()
+    return order.join(touched, "class", "left_anti")
+
+
 @query()
 def method_order(g):
-    """C3 order of every class, hierarchy by hierarchy."""
-    links = g.typed("EXTENDS").select(F.col("source").alias("class"), F.col("target").alias("base")).where("class <> base").distinct()
-    groups = connected_components(links.select(F.col("class").alias("a"), F.col("base").alias("b")), g.work)
-    return resolution.method_order(links.join(groups.select(F.col("id").alias("class"), F.col("component").alias("group")), "class").select("group", "class", "base", F.lit(0).alias("position")))
+    """C3 order of every class; bases in the order of their lines, then of arrival."""
+    links = g.typed("EXTENDS").where("source <> target")
+    first = links.groupBy(F.col("source").alias("class"), F.col("target").alias("base")).agg(F.min(F.struct(F.coalesce("line_number", F.lit(1 << 30)).alias("line"), "ingested_at", "id")).alias("at"))
+    nth = F.row_number().over(Window.partitionBy("class").orderBy("at"))  # a class has few bases
+    return resolution.method_order(first.select("class", "base", nth.alias("position")), g.work)
 
 
 DOMAINS = {"tests": {"file_path_patterns": ["*/tests/*"]}, "api": {"fqn_patterns": ["*.api.*"]}}

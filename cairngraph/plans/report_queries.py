@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cairngraph.operators import lookup, metrics, structure
-from cairngraph.plans.graph_queries import _HOLD, _KIND, _MODULES, BAD, KEYED, PACKAGE, query
+from cairngraph.operators import drift_run as dr
+from cairngraph.plans.graph_queries import _COUNTERS, _HOLD, _IDEALS, _KIND, _MODULES, _RATIO, _WEIGHT, BAD, KEYED, PACKAGE, _depth_sql, _shares_sql, _triad_sql, query
 
 #: Where the graph is taken to have been read from, for names that begin with a directory above it.
 ROOTS = lookup.path_roots("/w/srv/app", ["pkg"])
@@ -169,3 +170,76 @@ def suggest_packages(g):
 @query()
 def suggest_bridges(g):
     return structure.suggest_packages(g, TREE, with_calls=True, all_descendants=True).bridges
+
+
+# Drift
+
+_CALL_COUNTERS = _COUNTERS.replace("c as (", "cc as (", 1).replace("from c group", "from cc group")
+_PRINTS = f"""{_triad_sql('IMPORTS', 'i')}, {_shares_sql('i')}, {_triad_sql('CALLS', 'c')}, {_shares_sql('c')}, {_CALL_COUNTERS}, {_RATIO}, {_depth_sql('CALLS', 'p')}, {_depth_sql('IMPORTS', 'q')},
+  ne as (select split_part(source, '.', 1) as domain, count(*) as edge_count from e where split_part(source, '.', 1) = split_part(target, '.', 1) and source in (select id from n) and target in (select id from n) group by 1),
+  fps as materialized (select cnt.domain, n_nodes as node_count, coalesce(edge_count, 0) as edge_count, hubs as hub_count, stars as star_count, coalesce((select avg(length) from plong where plong.domain = cnt.domain), 0) as chain_len, coalesce((select max(length) from qlong where qlong.domain = cnt.domain), 0) as dag_depth, routers as router_count, cycle_ratio, unresolved_ratio,
+    greatest(coalesce((select sum(share * {_WEIGHT}) / 3 from ish where domain = cnt.domain), 0), greatest(0, least(1, 1 - unresolved_ratio)) * coalesce((select sum(share * {_WEIGHT}) / 3 from csh where domain = cnt.domain), 0)) as tangle_ratio
+    from cnt join rat using (domain) left join ne using (domain))"""
+_FAR = "{p}tv as (select domain, template, sum(abs(share - ideal)) / 2 as d from {p}sh join ideal using (triad) where domain in (select domain from {p}census group by 1 having sum(n) > 0) group by 1, 2)"
+_TEMPLATE_SCORES = f"""{_PRINTS}, {_IDEALS}, {_FAR.format(p='i')}, {_FAR.format(p='c')},
+  sc as (select fps.domain, t.template, itv.d as di, ctv.d as dc, greatest(0, least(1, 1 - unresolved_ratio)) as k,
+    (0.25::double * least(1, greatest(0, cycle_ratio)) + 0.15::double * least(1, greatest(0, unresolved_ratio - case when t.template = 'pure_utility' then 0.1::double else 0.2::double end)) + case when t.template = 'layered_dag' then 0.1::double * least(1, greatest(0, 3 - dag_depth) / 3) else 0 end) / case when t.template = 'layered_dag' then 0.5::double else 0.4::double end as gates
+    from fps cross join (select distinct template from ideal) t left join itv on itv.domain = fps.domain and itv.template = t.template left join ctv on ctv.domain = fps.domain and ctv.template = t.template where edge_count > 0),
+  ts as (select domain, template, (case when di is null then 0 else 0.35::double * di end + case when dc is null then 0 else 0.35::double * k * dc end + 0.3::double * gates) / (case when di is null then 0 else 0.35::double end + case when dc is null then 0 else 0.35::double * k end + 0.3::double) as score from sc)"""
+
+
+def _prints(g):
+    tops = [r[0] for r in g.nodes.select(F.substring_index("id", ".", 1)).distinct().toLocalIterator()]
+    return dr.fingerprints(g.nodes, g.edges, dr.members_of(g.nodes, tops), g.work, hot=(g.hot("source"), g.hot("target"))), tops
+
+
+@query(f"{_PRINTS} select domain, node_count, edge_count, hub_count, star_count, round(chain_len, 9) as chain_len, dag_depth, router_count, cycle_ratio, unresolved_ratio, round(tangle_ratio, 9) as tangle_ratio from fps", recursive=True)
+def package_fingerprints(g):
+    """All measures of each top package by one join of edges and members; the members may be any prefixes."""
+    return _prints(g)[0].drop("t_imports", "t_calls").withColumn("chain_len", F.round("chain_len", 9)).withColumn("tangle_ratio", F.round("tangle_ratio", 9))
+
+
+@query(f"{_TEMPLATE_SCORES} select domain, template, round(score, 9) as score from ts", recursive=True)
+def template_scores(g):
+    """The whole score of each top package against each template: both layers' distances and the bounds."""
+    prints, tops = _prints(g)
+    return dr.template_scores(prints, {t: "python" for t in tops}, dr.Catalog()).select("domain", "template", F.round("score", 9).alias("score"))
+
+
+CATALOG = dr.Catalog(
+    domains=(
+        dr.Binding("tree", "vostmark_1c", "layered_dag", 0.6, "python"),
+        dr.Binding("store", "vostmark_1c.store", "pure_utility", None, "python"),
+        dr.Binding("shapes", "gildovar_1a", "orchestrator", 0.9, "typescript", {}, {"unresolved_ratio": 0.9, "cycle_ratio": 1.0, "tangle_ratio": 1.0}),
+        dr.Binding("nothing", "no.such.package", "funnel", None, "python"),
+        dr.Binding("plain", "vostora_13", None, 0.3, None, enforce=False),
+    ),
+    levels=(dr.Binding("whole", "quotient", "layered_dag", 0.8, "python"),),
+)
+
+
+@query()
+def drift_run(g):
+    """Reports of a few bindings: nested, empty, acknowledged, without pattern, and the quotient of all."""
+    return dr.drift_run(g, CATALOG).reports.select("level", "name", "status", F.round("score", 6).alias("score"), "tolerance", "breaches", "acknowledged", "violations", "nearest", "band")
+
+
+@query(f"""{_PRINTS} select name, case when node_count is null then 'empty' when edge_count = 0 then 'no_signal' when cycle_ratio > cb or unresolved_ratio > ub or tangle_ratio > tb then 'gate_failed' else 'scored' end as gate
+  from (values ('tree', 'vostmark_1c', 0.0::double, 0.2::double, 0.25::double), ('shapes', 'gildovar_1a', 1.0::double, 0.9::double, 1.0::double), ('nothing', 'no.such.package', 0.0::double, 0.2::double, 0.25::double), ('plain', 'vostora_13', 0.0::double, 0.2::double, 0.25::double)) b(name, prefix, cb, ub, tb) left join fps on fps.domain = prefix""", recursive=True)
+def drift_gates(g):
+    """Which bindings of top packages the limits, relaxed by what is acknowledged, fail."""
+    rows = dr.drift_run(g, CATALOG).reports.where("level = 'package' and name <> 'store'")
+    return rows.select("name", F.when(F.col("status").isin("empty", "no_signal", "gate_failed"), F.col("status")).otherwise("scored").alias("gate"))
+
+
+@query("""p as (select distinct split_part(id, '.', 1) as prefix from n where file_path <> 'EXTERNAL') select prefix from p where prefix not in ('vostmark_1c', 'gildovar_1a', 'vostora_13')""")
+def drift_coverage(g):
+    """Packages that no binding reaches."""
+    return dr.uncovered_packages(g, CATALOG.domains)
+
+
+@query()
+def ontology_proposal(g):
+    """A binding for each top package that passes on the graph as it is."""
+    prefixes = g.internal().select(F.substring_index("id", ".", 1).alias("prefix")).distinct()
+    return dr.propose(g, prefixes, dr.Catalog()).withColumn("baseline", F.to_json("baseline"))

@@ -43,6 +43,18 @@ def query(sql: str | None = None, recursive: bool = False):
     return add
 
 
+def folder_query(sql: str | None = None, recursive: bool = False):
+    """Registers a query of the graph and of the tables it came from."""
+
+    def add(f):
+        QUERIES[f.__name__] = lambda spark, folder: f(Graph.load(spark, folder), folder)
+        if sql:
+            ORACLE[f.__name__] = f"with {'recursive ' if recursive else ''}{BASE}, {sql}"
+        return f
+
+    return add
+
+
 def tables_query(sql: str | None = None):
     """Registers a query of the tables as they are."""
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cairngraph.operators import lookup, metrics, structure
+from cairngraph.functions.text import sql_path
+from cairngraph.operators import diffcheck, lookup, metrics, structure
 from cairngraph.operators import drift_run as dr
-from cairngraph.plans.graph_queries import _COUNTERS, _HOLD, _IDEALS, _KIND, _MODULES, _RATIO, _WEIGHT, BAD, KEYED, PACKAGE, _depth_sql, _shares_sql, _triad_sql, query
+from cairngraph.sources.tables import table
+from cairngraph.plans.graph_queries import _COUNTERS, _HOLD, _IDEALS, _KIND, _MODULES, _RATIO, _WEIGHT, BAD, KEYED, PACKAGE, _depth_sql, _shares_sql, _triad_sql, folder_query, query
 
 #: Where the graph is taken to have been read from, for names that begin with a directory above it.
 ROOTS = lookup.path_roots("/w/srv/app", ["pkg"])
@@ -243,3 +245,49 @@ def ontology_proposal(g):
     """A binding for each top package that passes on the graph as it is."""
     prefixes = g.internal().select(F.substring_index("id", ".", 1).alias("prefix")).distinct()
     return dr.propose(g, prefixes, dr.Catalog()).withColumn("baseline", F.to_json("baseline"))
+
+
+# Changes: the lines of inheritance are new, those of imports are old, nodes were as they came first
+
+_WHERE = "line_number is not null and file_path is not null"
+_DIFF = f"""nl as (select distinct {sql_path('file_path')} as f, line_number as l from e where type = 'EXTENDS' and {_WHERE}), ol as (select distinct {sql_path('file_path')} as f, line_number as l from e where type = 'IMPORTS' and {_WHERE}),
+  sy as (select id, type, name, {sql_path('file_path')} as f, start_line, end_line, is_test from n where type in ('CLASS', 'FUNCTION', 'METHOD')),
+  ba as (select * from (select id, type, name, {sql_path('file_path')} as f, start_line, end_line, row_number() over (partition by id order by ingested_at, type, name, file_path, start_line, end_line) as k from nodes where type in ('CLASS', 'FUNCTION', 'METHOD')) where k = 1),
+  met as (select distinct ba.id, ba.type, ba.name, ba.f from ba join ol on ol.f = ba.f and l between start_line and end_line),
+  ch as (select distinct sy.id from sy join nl on nl.f = sy.f and l between start_line and end_line union select met.id from met join sy on sy.id = met.id and sy.f = met.f),
+  sm as materialized (select id, type, name, 'changed' as verb from sy where id in (from ch) union all select id, type, name, 'removed' from met where id not in (from ch) and not exists (select 1 from sy where sy.id = met.id and sy.f = met.f))"""
+
+
+def _diff(g, folder):
+    where = g.edges.where("line_number is not null and file_path is not null").select("type", "file_path", F.col("line_number").alias("line"))
+    side = lambda kind, s: where.where(F.col("type") == kind).select(F.col("file_path").alias("old_path"), F.col("file_path").alias("new_path"), F.lit(s).alias("side"), "line", F.lit(None).cast("string").alias("text"))
+    rows = table(g.work.spark, folder, "nodes").where(F.col("type").isin(*diffcheck.SYMBOLS) & F.col("id").isNotNull())
+    first = rows.groupBy("id").agg(F.min(F.struct("ingested_at", "type", "name", "file_path", "start_line", "end_line")).alias("r")).select("id", "r.*").drop("ingested_at")
+    return g.work.save(side("EXTENDS", "new").unionByName(side("IMPORTS", "old")).distinct()), first
+
+
+@folder_query(f"{_DIFF} select id, type, verb from sm")
+def diff_symbols(g, folder):
+    return diffcheck.changed_symbols(g, *_diff(g, folder)).select("id", "type", "verb")
+
+
+@folder_query(f"""{_DIFF}, w as (select id as changed, id as spot, 0 as d from sm where type = 'CLASS' union select w.changed, e.source, d + 1 from w join e on e.type = 'EXTENDS' and e.target = w.spot and e.source <> e.target where d < 40),
+  md as materialized (select changed, spot, min(d) as d from w group by 1, 2),
+  sb as (select 'subclass' as kind, m.changed, m.spot as site, max(e.confidence) / m.d as score from md m join md p on p.changed = m.changed and p.d = m.d - 1 join e on e.type = 'EXTENDS' and e.target = p.spot and e.source = m.spot where m.d > 0 and m.spot <> m.changed group by 1, 2, 3, m.d),
+  ca as (select 'caller' as kind, e.target as changed, e.source as site, max(e.confidence) as score from e join sm on sm.id = e.target and sm.type <> 'CLASS' where e.type = 'CALLS' and e.source <> e.target group by 1, 2, 3)
+  select kind, changed, site, round(score, 9) as score from sb union all select kind, changed, site, round(score, 9) from ca""", recursive=True)
+def diff_items(g, folder):
+    """Subclasses and callers of all changed symbols, before they are cut to a list."""
+    lines, base = _diff(g, folder)
+    return diffcheck.symbol_items(g, g.work.save(diffcheck.changed_symbols(g, lines, base))).select("kind", "changed", "site", F.round("score", 9).alias("score"))
+
+
+@folder_query()
+def diff_check(g, folder):
+    """The list a reader sees, the first 20."""
+    return diffcheck.diff_check(g, *_diff(g, folder), cap=20).items
+
+
+@folder_query()
+def diff_summary(g, folder):
+    return diffcheck.diff_check(g, *_diff(g, folder)).summary

@@ -171,13 +171,13 @@ def longest_ways(links: DataFrame, g: Graph) -> DataFrame:
     a, b = comp.select(F.col("id").alias("src"), F.col("component").alias("x")), comp.select(F.col("id").alias("dst"), F.col("component").alias("y"))
     roots = links.select("domain", "src").join(links.select("domain", F.col("dst").alias("src")), ["domain", "src"], "left_anti").distinct()
     links = g.work.save(links.join(a, "src", "left").join(b, "dst", "left").where("x is null or y is null or x <> y").select("domain", "src", "dst"))
-    front = g.work.save(roots.select("domain", F.col("src").alias("root"), F.col("src").alias("at")))
+    # A round takes one link more, from the ends backwards, and holds a node once whatever ways lead on from it.
+    front, n = g.work.save(links.select("domain", "src").distinct()), 1
     found = roots.select("domain", "src", F.lit(0).alias("length"))
-    n, bound = 0, links.select("src").distinct().count()
-    while front.take(1) and n < bound:
+    while front.take(1):
+        found = found.unionByName(front.join(roots, ["domain", "src"], "left_semi").withColumn("length", F.lit(n)))
         n += 1
-        front = g.work.save(front.join(links.select("domain", F.col("src").alias("at"), "dst"), ["domain", "at"]).select("domain", "root", F.col("dst").alias("at")).distinct())
-        found = found.unionByName(front.select("domain", F.col("root").alias("src"), F.lit(n).alias("length")).distinct())
+        front = g.work.save(links.join(front.select("domain", F.col("src").alias("dst")), ["domain", "dst"], "left_semi").select("domain", "src").distinct())
     return found.groupBy("domain", "src").agg(F.max("length").alias("length"))
 
 

@@ -82,10 +82,15 @@ def hierarchy_dispatch(g: Graph) -> DataFrame:
 def interface_dispatch(needs: DataFrame, has: DataFrame) -> DataFrame:
     """interface, type: types with every method (method, arity) an interface needs; a null arity fits any.
 
-    Relational division: matches are counted against what is needed.
+    An interface meets only the types that have the method of it which fewest types have; these are then
+    counted over all its methods, so a name that every type has brings no pairs of its own.
     """
     total = needs.groupBy("interface").agg(F.countDistinct("method").alias("n"))
-    fit = needs.join(has.withColumnRenamed("arity", "got"), "method").where("arity is null or got is null or arity = got")
+    spread = has.select("type", "method").distinct().groupBy("method").agg(F.count("*").alias("k"))
+    rare = needs.select("interface", "method").distinct().join(spread, "method", "left").na.fill(0, ["k"]).groupBy("interface").agg(F.min_by("method", F.struct("k", "method")).alias("method"))
+    near = rare.join(has.select("type", "method").distinct(), "method").select("interface", "type")
+    own = has.withColumnRenamed("arity", "got")
+    fit = near.join(needs, "interface").join(own, ["type", "method"]).where("arity is null or got is null or arity = got")
     return fit.groupBy("interface", "type").agg(F.countDistinct("method").alias("m")).join(total, "interface").where("m = n").select("interface", "type")
 
 

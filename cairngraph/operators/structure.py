@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from heapq import heapify, heappop, heappush
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -67,17 +68,16 @@ def _greedy(files: list[str], adj: dict[str, dict[str, float]]) -> tuple[list[li
         return [[f] for f in files], 0.0
     members, links = {f: [f] for f in files}, {f: dict(adj.get(f, {})) for f in files}
     weight = dict(degree)
-    while True:
-        best, pair = 1e-12, None
-        for c in sorted(members):
-            for d in sorted(links[c]):
-                if c < d and links[c][d] > 0:
-                    gain = 2 * (links[c][d] / double - weight[c] * weight[d] / double**2)
-                    if gain > best:
-                        best, pair = gain, (c, d)
-        if pair is None:
+    gain = lambda c, d: 2 * (links[c][d] / double - weight[c] * weight[d] / double**2)
+    # The best pair is on top; what a merge has made out of date is known by its gain.
+    heap = [(-gain(c, d), c, d) for c in files for d in links[c] if c < d and links[c][d] > 0]
+    heapify(heap)
+    while heap:
+        best, c, d = heappop(heap)
+        if c not in members or d not in members or d not in links[c] or -gain(c, d) != best:
+            continue
+        if -best <= 1e-12:
             break
-        c, d = pair
         members[c] += members.pop(d)
         weight[c] += weight.pop(d)
         for x, w in links.pop(d).items():
@@ -87,6 +87,9 @@ def _greedy(files: list[str], adj: dict[str, dict[str, float]]) -> tuple[list[li
                 links[x][c] = links[x].get(c, 0.0) + w
         links[c].pop(c, None)
         links[c].pop(d, None)
+        for x, w in links[c].items():
+            if w > 0:
+                heappush(heap, (-gain(*sorted((c, x))), *sorted((c, x))))
     label = {f: c for c, fs in members.items() for f in fs}
     q = sum(w for f, row in adj.items() for x, w in row.items() if label[f] == label[x]) / double
     return sorted(sorted(fs) for fs in members.values()), q - sum((w / double) ** 2 for w in weight.values())
@@ -171,17 +174,6 @@ def module_edges(g: Graph, prefix: str | None = None, exclude_tests: bool = True
     return e.join(s, "source").join(t, "target").where("a <> b").select(F.col("a").alias("source"), F.col("b").alias("target"), "kind").distinct()
 
 
-def closure(links: DataFrame, work: Workspace) -> DataFrame:
-    """src, dst: all pairs joined by a way along ``links``, each once. As large as the ways are many: for quotients and packages."""
-    seen = work.save(links.select("src", "dst").distinct())
-    front = seen
-    while front.take(1):
-        step = front.join(links.select(F.col("src").alias("dst"), F.col("dst").alias("far")), "dst").select("src", F.col("far").alias("dst")).distinct()
-        front = work.save(step.join(seen, ["src", "dst"], "left_anti"))
-        seen = seen.unionByName(front)
-    return seen
-
-
 def transitive_reduction(edges: DataFrame, work: Workspace) -> DataFrame:
     """The edges (source, target) that no longer way implies; all edges within a cycle stay.
 
@@ -194,8 +186,7 @@ def transitive_reduction(edges: DataFrame, work: Workspace) -> DataFrame:
     e = edges.join(side("source", "cs"), "source", "left").join(side("target", "ct"), "target", "left").select("source", "target", F.coalesce("cs", "source").alias("cs"), F.coalesce("ct", "target").alias("ct"))
     e = work.save(e)
     dag = work.save(e.where("cs <> ct").select(F.col("cs").alias("src"), F.col("ct").alias("dst")).distinct())
-    ways = closure(dag, work)
-    implied = dag.select("src", F.col("dst").alias("via")).join(ways.select(F.col("src").alias("via"), "dst"), "via").select(F.col("src").alias("cs"), F.col("dst").alias("ct")).distinct()
+    implied = implied_links(dag, work).select(F.col("src").alias("cs"), F.col("dst").alias("ct"))
     return e.join(implied, ["cs", "ct"], "left_anti").select("source", "target")
 
 

@@ -155,20 +155,24 @@ def structure(g: Graph, root: str, depth: int) -> DataFrame:
 def propagate_labels(g: Graph, labels: DataFrame) -> DataFrame:
     """id, label: labels (id, label) handed down to all that is contained or declared below.
 
-    Every round each id takes the labels, and the places above, of all the places above it that it
-    knows: what it knows doubles. Rounds end when nothing is new.
+    Where no id has two places above it, each round every id looks twice as far up, and deep trees take few
+    rounds. Else labels go down a level a round, each id taking a label once; what is held is never more than the result.
     """
-    links = g.typed(*STRUCTURAL).select(F.col("target").alias("id"), F.col("source").alias("up")).where("id <> up").distinct()
-    ways, seen = g.work.save(links), g.work.save(labels.select("id", "label").distinct())
-    one = not links.groupBy("id").count().where("count > 1").take(1)
+    links = g.work.save(g.typed(*STRUCTURAL).select(F.col("target").alias("id"), F.col("source").alias("up")).where("id <> up").distinct())
+    seen = g.work.save(labels.select("id", "label").distinct())
+    if links.groupBy("id").count().where("count > 1").take(1):
+        front = seen
+        while front.take(1):
+            got = links.join(front.select(F.col("id").alias("up"), "label"), "up").select("id", "label").distinct()
+            front = g.work.save(got.join(seen, ["id", "label"], "left_anti"))
+            seen = seen.unionByName(front)
+        return seen
+    ways = links
     # After as many rounds as the number of links has bits, the farthest way up is known; cycles only repeat.
     for _ in range(links.count().bit_length() + 1):
         got = ways.join(seen.select(F.col("id").alias("up"), "label"), "up").select("id", "label")
         seen = g.work.save(seen.unionByName(got).distinct())
-        further = ways.join(ways.select(F.col("id").alias("up"), F.col("up").alias("top")), "up").select("id", F.col("top").alias("up")).distinct()
-        if not one:  # several ways up: the near ones stay, too
-            further = ways.unionByName(further).distinct()
-        newer = g.work.save(further)
+        newer = g.work.save(ways.join(ways.select(F.col("id").alias("up"), F.col("up").alias("top")), "up").select("id", F.col("top").alias("up")).distinct())
         g.work.drop(ways)
         ways = newer
         if not ways.take(1):

@@ -72,7 +72,8 @@ def walk(g: Graph, roots: list[str], upstream: bool, depth: int, types: list[str
 
     Each level, the first included, is closed over DISPATCHES without spending depth. Files are not
     walked through unless they are roots. ``floor`` is the least confidence. With a ``budget`` a level
-    that does not fit is cut by (outside code, file, id), and the walk ends.
+    that does not fit is cut by (outside code, file, id), and the walk ends. ``hide_tests`` hides none if a root is a
+    test, and a walk with a budget goes through files if a root is one.
     """
     types = [t for t in (types or BEHAVIORAL) if t != "DISPATCHES"]
     here, there = ("target", "source") if upstream else ("source", "target")
@@ -80,6 +81,8 @@ def walk(g: Graph, roots: list[str], upstream: bool, depth: int, types: list[str
     rows = lambda kinds: ok.where(F.col("type").isin(*kinds)).select("id", F.col(here).alias("at"), F.col(there).alias("next"))
     plain, sent = rows(types), rows(["DISPATCHES"])
     info = g.nodes.select(F.col("id").alias("next"), "is_test", "namespace", "type")
+    own = g.nodes.where(F.col("id").isin(*roots)).agg(F.max(F.coalesce("is_test", F.lit(False))), F.max(F.col("type") == "FILE")).first()
+    hide_tests, through_files = hide_tests and not own[0], bool(own[1]) and budget is not None
     work, spark = g.work, g.work.spark
     seen = spark.createDataFrame([(r, 0, False) for r in roots], "node string, depth int, leaf boolean")
     front, n_front, n_seen, walked = seen, len(roots), len(roots), []
@@ -96,7 +99,7 @@ def walk(g: Graph, roots: list[str], upstream: bool, depth: int, types: list[str
             new = new.where("not coalesce(is_test, false)")
         if internal_only:
             new = new.where("namespace = 'INTERNAL'")
-        new = work.save(new.select(F.col("next").alias("node"), F.lit(level).alias("depth"), (F.coalesce("type", F.lit("")) == "FILE").alias("leaf"), (F.coalesce("namespace", F.lit("")) != "INTERNAL").alias("outside")))
+        new = work.save(new.select(F.col("next").alias("node"), F.lit(level).alias("depth"), ((F.coalesce("type", F.lit("")) == "FILE") & F.lit(not through_files)).alias("leaf"), (F.coalesce("namespace", F.lit("")) != "INTERNAL").alias("outside")))
         n = new.count()
         if budget is not None and n > (room := max(budget - n_seen, 0)):
             omitted, cut_at = n - room, level

@@ -68,16 +68,20 @@ def _place(word: str, low: int, high: int) -> int:
 
 def features(text: str) -> np.ndarray:
     """Hashed words and marks of the whole text, and how its lines begin and how many there are, as a vector of length 1."""
-    v = np.zeros(FEATURES, dtype=np.float32)
-    words = Counter(_WORD.findall(text.lower()))
-    lines = text.splitlines() or [""]
-    starts = Counter("\n" + _DIGITS.sub("0", _SHAPE.sub("w", x[:12])) for x in lines)
-    shape = [f"\n{k}{n}" for k, n in (("size", int(2 * math.log2(len(text) + 1))), ("lines", min(20, len(lines))), ("first", lines[0][:2]), ("last", text[-1:]))]
     split = FEATURES - LAYOUT
-    for counts, low, high in ((words, 0, split), (starts, split, FEATURES), (Counter(shape), split, FEATURES)):
-        if counts:
-            np.add.at(v, [_place(w, low, high) for w in counts], np.fromiter(counts.values(), np.float32, len(counts)))
-    v = np.log1p(v)
+    lines = text.splitlines() or [""]
+    counts: dict[int, float] = {}
+    for w, n in Counter(_WORD.findall(text.lower())).items():
+        at = _places.get(w)
+        at = _place(w, 0, split) if at is None else at
+        counts[at] = counts.get(at, 0.0) + n
+    starts = Counter(x[:12] for x in lines)
+    shape = [("size", int(2 * math.log2(len(text) + 1))), ("lines", min(20, len(lines))), ("first", lines[0][:2]), ("last", text[-1:])]
+    for w, n in [*(("\n" + _DIGITS.sub("0", _SHAPE.sub("w", x)), n) for x, n in starts.items()), *((f"\n{k}{x}", 1) for k, x in shape)]:
+        at = _place(w, split, FEATURES)
+        counts[at] = counts.get(at, 0.0) + n
+    v = np.zeros(FEATURES, dtype=np.float32)
+    v[np.fromiter(counts, np.int64, len(counts))] = np.log1p(np.fromiter(counts.values(), np.float32, len(counts)))
     return v / (float(np.linalg.norm(v)) or 1.0)
 
 

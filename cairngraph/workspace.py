@@ -13,6 +13,7 @@ import tempfile
 import uuid
 
 from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -48,6 +49,7 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.made = 0
+        self.tables: list[str] = []
         p, fs = _path(spark, self.root)
         fs.mkdirs(p)
         fs.deleteOnExit(p)
@@ -60,6 +62,8 @@ class Workspace:
 
     def close(self) -> None:
         """Delete every table of this workspace; whatever still reads them fails."""
+        for name in self.tables:
+            self.spark.sql(f"drop table if exists {name}")
         delete(self.spark, self.root)
 
     def save(self, df: DataFrame, files: int | None = None) -> DataFrame:
@@ -71,10 +75,14 @@ class Workspace:
         return out
 
     def save_bucketed(self, df: DataFrame, key: str, buckets: int) -> DataFrame:
-        """``save`` into buckets of ``key``: joins on it need no exchange of this table."""
+        """``save`` into buckets of ``key``: joins on it need no exchange of this table. Where the catalog takes no table it is saved plainly."""
         self.made += 1
         path, name = f"{self.root}/{self.made:04d}", f"cairn_{uuid.uuid4().hex}"
-        df.repartition(buckets, key).write.bucketBy(buckets, key).option("path", path).saveAsTable(name)
+        try:
+            df.repartition(buckets, key).write.bucketBy(buckets, key).option("path", path).saveAsTable(name)
+        except AnalysisException:
+            return self.save(df)
+        self.tables.append(name)
         out = self.spark.table(name)
         out._cairn_path = path
         return out

@@ -20,6 +20,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,8 +67,8 @@ def _place(word: str, low: int, high: int) -> int:
     return at
 
 
-def features(text: str) -> np.ndarray:
-    """Hashed words and marks of the whole text, and how its lines begin and how many there are, as a vector of length 1."""
+def marks(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Places and values of the features of a whole text, of length 1: hashed words and marks, how its lines begin and how many there are."""
     split = FEATURES - LAYOUT
     lines = text.splitlines() or [""]
     counts: dict[int, float] = {}
@@ -80,9 +81,15 @@ def features(text: str) -> np.ndarray:
     for w, n in [*(("\n" + _DIGITS.sub("0", _SHAPE.sub("w", x)), n) for x, n in starts.items()), *((f"\n{k}{x}", 1) for k, x in shape)]:
         at = _place(w, split, FEATURES)
         counts[at] = counts.get(at, 0.0) + n
+    v = np.log1p(np.fromiter(counts.values(), np.float32, len(counts)))
+    return np.fromiter(counts, np.int64, len(counts)), v / (math.sqrt(float(v @ v)) or 1.0)
+
+
+def features(text: str) -> np.ndarray:
     v = np.zeros(FEATURES, dtype=np.float32)
-    v[np.fromiter(counts, np.int64, len(counts))] = np.log1p(np.fromiter(counts.values(), np.float32, len(counts)))
-    return v / (float(np.linalg.norm(v)) or 1.0)
+    at, values = marks(text)
+    v[at] = values
+    return v
 
 
 @dataclass(frozen=True)
@@ -100,7 +107,11 @@ class Classifier:
         return (x @ self.weights + self.shift) / self.warmth
 
     def posteriors(self, texts: list[str]) -> np.ndarray:
-        return _softmax(self.logits(np.stack([features(t) for t in texts]))) if texts else np.zeros((0, len(self.names)))
+        z = np.zeros((len(texts), len(self.names)), np.float32)
+        for i, t in enumerate(texts):  # a text has few of the features
+            at, values = marks(t)
+            z[i] = values @ self.weights[at]
+        return _softmax((z + self.shift) / self.warmth) if texts else z
 
     def memberships(self, texts: list[str], labels: np.ndarray, trust: float | None) -> np.ndarray:
         """Posteriors given the text and, unless ``trust`` is None, the source that is named (its number, -1 for none)."""
@@ -207,20 +218,25 @@ def _rates(p: np.ndarray, cap: np.ndarray, steps: np.ndarray) -> np.ndarray:
     return np.clip(p @ steps, 0, cap)
 
 
+def _matrix(column: pa.Array, k: int) -> np.ndarray:
+    """A column of lists of k numbers as rows of a matrix, without an object for each."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+
+
 def _pass(table: DataFrame, k: int, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Expected tokens of each source at the rates that ``steps`` give, and how they change with the steps."""
 
     def run(batches):
         got, bend = np.zeros(k), np.zeros((k, k))
         for b in batches:
-            p, cap, t = np.stack(b["p"].to_list()), b["cap"].to_numpy(float), b["n_tokens"].to_numpy(float)
+            p, cap, t = _matrix(b.column(0), k), b.column(1).to_numpy(), b.column(2).to_numpy().astype(float)
             pull = p @ steps
             got += (np.clip(pull, 0, cap) * t) @ p
             free = t * ((pull > 0) & (pull < cap))
             bend += (p * free[:, None]).T @ p
-        yield pd.DataFrame({"i": range(k), "s": got, "b": list(bend)})
+        yield pa.RecordBatch.from_arrays([pa.array(range(k), pa.int32()), pa.array(got), pa.array(list(bend), pa.list_(pa.float64()))], ["i", "s", "b"])
 
-    rows = table.select("p", "cap", "n_tokens").mapInPandas(run, "i int, s double, b array<double>")
+    rows = table.select("p", "cap", "n_tokens").mapInArrow(run, "i int, s double, b array<double>")
     each = [F.sum(F.col("b")[j]).alias(f"b{j}") for j in range(k)]
     got, bend = np.zeros(k), np.zeros((k, k))
     for r in rows.groupBy("i").agg(F.sum("s").alias("s"), *each).toLocalIterator():

@@ -128,16 +128,19 @@ def listing(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(p))
 
 
-def publish(spark: SparkSession, path: str, content: str) -> bool:
+def publish(spark: SparkSession, path: str, content: str, linked: bool | None = None) -> bool:
     """Make a small file with all its content in one step; False if there is one already, whoever made it.
 
     The content is written beside it first. On a local disk a hard link then names it, elsewhere a
     rename that refuses to replace: both fail for all but one of several writers. Any other failure is raised.
+    ``linked`` chooses between them; by itself the file system does.
     """
     p, fs = _path(spark, path)
     fs.mkdirs(p.getParent())
     draft = f"{path}.{uuid.uuid4().hex}.draft"
-    if fs.getScheme() == "file":
+    if linked is None:
+        linked = fs.getScheme() == "file"
+    if linked:
         own, target = (_path(spark, x)[0].toUri().getPath() for x in (draft, path))
         with open(own, "x", encoding="utf-8") as f:
             f.write(content)

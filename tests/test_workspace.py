@@ -28,6 +28,12 @@ def test_a_file_is_made_once_and_whole(spark, tmp_path):
     assert read_text(spark, path).startswith("writer ") and listing(spark, f"file://{tmp_path}/c") == ["1.json"]
 
 
+def test_the_same_by_a_rename_that_refuses(spark, tmp_path):
+    path = f"file://{tmp_path}/d/1.json"
+    assert publish(spark, path, "one", linked=False) and not publish(spark, path, "two", linked=False) and not publish(spark, path, "three")
+    assert read_text(spark, path) == "one" and listing(spark, f"file://{tmp_path}/d") == ["1.json"]
+
+
 def test_versions(spark, tmp_path):
     at = f"file://{tmp_path}/t.parquet"
     assert version(spark, at) == (0, 0, 0)

@@ -104,13 +104,17 @@ class ChangeStore:
 
     def __init__(self, spark: SparkSession, folder: str, compact_every: int = 8, bucket_keys: int = BUCKET_KEYS):
         self.spark, self.folder, self.compact_every, self.bucket_keys = spark, folder.rstrip("/"), compact_every, bucket_keys
+        self._told: dict[int, Commit] = {}
 
     def last(self) -> Commit:
         done = [x for x in listing(self.spark, f"{self.folder}/commit") if x.endswith(".json")]
         return self.commit(_number(done[-1])) if done else Commit()
 
     def commit(self, number: int) -> Commit:
-        return Commit.of(read_text(self.spark, f"{self.folder}/commit/{number:010d}.json"))
+        """What a commit says; it never changes, so each is read once."""
+        if number not in self._told:
+            self._told[number] = Commit.of(read_text(self.spark, f"{self.folder}/commit/{number:010d}.json"))
+        return self._told[number]
 
     def rows(self, first: int, last: int) -> DataFrame:
         paths = [f"{self.folder}/{self.commit(n).data}" for n in range(first, last + 1)]

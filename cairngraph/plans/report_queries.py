@@ -54,8 +54,9 @@ def prefix_coverage(g):
 
 @query("select * exclude (ingested_at, domains) from n where id in (select distinct target from e where type = 'EXTENDS')")
 def node_lookup(g):
-    """The nodes of a list of ids, here of all base classes."""
-    return lookup.fetch_nodes(g, g.typed("EXTENDS").select(F.col("target").alias("id"))).drop("ingested_at", "domains")
+    """The nodes of a list of ids, here of all base classes; the graph holds living nodes alone, so deleted_at is null."""
+    found = lookup.fetch_nodes(g, g.typed("EXTENDS").select(F.col("target").alias("id")))
+    return found.drop("ingested_at", "domains").withColumn("deleted_at", F.lit(None).cast("timestamp"))
 
 
 @query("""c as (select array_to_string(p[1:least(2, greatest(len(p) - 1, 1))], '.') as prefix, count(*) filter (not is_test) as a, count(*) filter (is_test) as b from (select *, string_split(id, '.') as p from inode where type <> 'FILE') group by 1),

@@ -1,5 +1,6 @@
 from cairngraph.operators import lookup
-from tests.helpers import edge, graph, node, rows
+from cairngraph.plans import graph_queries, report_queries
+from tests.helpers import edge, edges, graph, node, nodes, rows
 
 
 def names(spark, *given):
@@ -48,3 +49,17 @@ def test_contexts_lookups_and_reports(spark, work):
     assert report["cohesion", 1] == ("p.C", 2.0, 2.0) and report["resolution", 1] == (None, 0.0, 3.0) and report["critical", 1][0] == "p.C.a"
     top = {(r["kind"], r["nth"]): (r["prefix"], r["symbols"]) for r in lookup.overview_packages(g, limit=1).collect()}
     assert top == {("production", 1): ("p", 2), ("test", 1): ("p.tests", 1)}
+
+
+def test_base_classes_as_in_sql(spark, work, tmp_path):
+    from compare import plain, tables
+
+    n = [node("A", "CLASS", at=1), node("B", "CLASS", at=1), node("B", "CLASS", at=2, name="B2"), node("C", "CLASS", at=1), node("C", "CLASS", at=2, gone=3), node("D", "CLASS", at=1, gone=2), node("D", "CLASS", at=3), node("E", "CLASS")]
+    e = [edge("1", "E", " A ", "extends"), edge("2", "E", "B", "EXTENDS"), edge("3", "D", "B", "EXTENDS"), edge("4", "E", "C", "EXTENDS"), edge("5", "E", "D", "EXTENDS"), edge("6", "D", "E"), edge("7", "D", "none", "EXTENDS")]
+    nodes(spark, n).write.parquet(f"{tmp_path}/nodes.parquet")
+    edges(spark, e).write.parquet(f"{tmp_path}/edges.parquet")
+    want = tables(str(tmp_path)).execute(graph_queries.ORACLE["node_lookup"])
+    got = report_queries.node_lookup(graph(spark, work, n, e))
+    assert got.columns == [c[0] for c in want.description] and dict(got.dtypes)["deleted_at"] == "timestamp"
+    assert rows(got) == sorted(map(plain, want.fetchall()), key=str)
+    assert rows(got.select("id", "name", "deleted_at")) == [("A", "A", None), ("B", "B2", None), ("D", "D", None)]

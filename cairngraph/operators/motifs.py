@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cairngraph.graph import Graph
 from cairngraph.operators.components import strong_components
-from cairngraph.operators.skew import split_join
+from cairngraph.operators.skew import extent, sized_join, split_join
 from cairngraph.operators.storage import unresolved
 from cairngraph.workspace import Workspace
 
@@ -221,11 +221,17 @@ def quotient_edges(g: Graph, depth: int = 1) -> DataFrame:
     return e.groupBy(top("source").alias("source"), top("target").alias("target"), "type").agg(F.count("*").alias("weight")).where("source <> target")
 
 
-def assign_domains(ids: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """id, domain: the longest prefix (domain, prefix) an id is or lies under, by joining its own heads."""
+def assign_domains(ids: DataFrame, prefixes: DataFrame, work: Workspace) -> DataFrame:
+    """id, domain: the longest prefix (domain, prefix) an id is or lies under, by joining its own heads.
+
+    Spark takes the heads to be no more than the ids and would broadcast them all; only the prefixes may be, as measured.
+    """
     parts = F.split("id", "[.]")
     heads = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "."))
-    found = ids.select("id", F.explode(heads).alias("prefix")).join(prefixes, "prefix")
+    prefixes = work.save(prefixes)
+    size = extent(prefixes)
+    # Beyond the bound the hint keeps either side from being broadcast by its estimate; up to it, sized_join's own goes first.
+    found = sized_join(ids.select("id", F.explode(heads).alias("prefix")), prefixes.hint("merge"), ["prefix"], "inner", size)
     return found.groupBy("id").agg(F.max_by("domain", F.length("prefix")).alias("domain"))
 
 

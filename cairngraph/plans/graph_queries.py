@@ -616,7 +616,7 @@ def quotient_call_tally(g):
 @query("select p.prefix as domain, count(*) as n from (select n.id, max(length(x.prefix)) as k from n join (select distinct regexp_replace(id, '\\.[^.]*$', '') as prefix from n where type = 'FILE') x on n.id = x.prefix or starts_with(n.id, x.prefix || '.') group by 1) b join (select distinct regexp_replace(id, '\\.[^.]*$', '') as prefix from n where type = 'FILE') p on length(p.prefix) = b.k and (b.id = p.prefix or starts_with(b.id, p.prefix || '.')) group by 1")
 def domain_assignment(g):
     prefixes = g.nodes.where("type = 'FILE'").select(F.regexp_replace("id", r"\.[^.]*$", "").alias("prefix")).distinct()
-    found = motifs.assign_domains(g.nodes.select("id"), prefixes.withColumn("domain", F.col("prefix")))
+    found = motifs.assign_domains(g.nodes.select("id"), prefixes.withColumn("domain", F.col("prefix")), g.work)
     return found.groupBy("domain").agg(F.count("*").alias("n"))
 
 
